@@ -59,33 +59,30 @@ def stream(vertex: Column, seed: int, number: int) -> Column:
 def with_distinct_draws(
     df: DataFrame, name: str, start: Column, count: Column, choices: Column, most_choices: int
 ) -> DataFrame:
-    """Add ``count`` distinct values of ``[0, choices)``; all when there are fewer.
+    """Add ``count`` distinct values of ``[0, choices)``; all of them when there are fewer.
 
-    The first ``count`` different values among ``2 * count + 16`` draws. When
-    most choices are wanted, or the draws repeat too often, the ``count``
-    smallest of all choices by scrambled value. ``most_choices`` bounds
-    ``choices`` over all rows.
+    A uniform sample without replacement from exactly ``count`` draws: number
+    ``i`` is drawn from one value more than number ``i - 1``, and a value that
+    was there already is replaced by that new value, which was not.
+    ``most_choices`` bounds ``choices`` over all rows.
     """
     begin, wanted, drawn = F.col("_begin"), F.col("_wanted"), F.col("_drawn")
     none = F.array().cast("array<bigint>")
+    # Columns, so that the lambdas below refer to computed values.
     df = df.withColumn("_choices", choices).withColumn("_begin", start)
-    choices = F.col("_choices")
-    df = df.withColumn("_wanted", F.greatest(F.least(count, choices), F.lit(0)).cast("int"))
-
-    draws = mix_all(
-        F.transform(F.sequence(_big(0), wanted.cast("bigint") * 2 + 15), lambda i: begin + i * STRIDE)
-    )
+    df = df.withColumn("_wanted", F.greatest(F.least(count, F.col("_choices")), F.lit(0).cast("bigint")))
+    draws = mix_all(F.transform(F.sequence(_big(1), wanted), lambda i: begin + i * STRIDE))
     if most_choices > WIDE_RANGE:
         draws = F.transform(draws, lambda v: v * _big(PRIME) + (v * ROUND_1[0] + begin) % _big(PRIME))
-    picks = F.array_distinct(F.transform(draws, lambda v: v % choices))
-    roomy = choices > wanted * 4 + 64
-    df = df.withColumn("_drawn", F.when(roomy & (wanted > 0), F.slice(picks, F.lit(1), wanted)))
-
-    every = F.sequence(_big(0), choices - 1)
-    keys = mix_all(F.transform(every, lambda i: begin + i * STRIDE))
-    ordered = F.array_sort(F.zip_with(keys, every, lambda key, pick: F.struct(key, pick.alias("pick"))))
-    smallest = F.transform(F.slice(ordered, F.lit(1), wanted), lambda pair: pair["pick"])
-    return df.withColumn(
-        name,
-        F.when(wanted <= 0, none).when(F.size(drawn) >= wanted, drawn).otherwise(smallest),
-    ).drop("_begin", "_wanted", "_drawn", "_choices")
+    # The last value draw i may take, for i = 0, 1, …
+    draws = F.transform(
+        draws, lambda v, i: F.struct(F.col("_choices") - wanted + i, v % (F.col("_choices") - wanted + i + 1))
+    )
+    df = df.withColumn("_drawn", F.when(wanted > 0, draws))
+
+    def add(picked: Column, draw: Column) -> Column:
+        last, value = draw["col1"], draw["col2"]
+        return F.array_append(picked, F.when(F.array_contains(picked, value), last).otherwise(value))
+
+    picks = F.when(wanted > 0, F.aggregate(drawn, none, add)).otherwise(none)
+    return df.withColumn(name, picks).drop("_begin", "_wanted", "_drawn", "_choices")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjrank.functions.blocks import block_of, check_block_size, integer_div
 from adjrank.operators.position import global_index
-from adjrank.operators.skew import heavy_keys, lookup
+from adjrank.operators.skew import group_sizes, lookup
 from adjrank.session import DEFAULT_LIMITS, Limits
 
 BY = ("range", "position")
@@ -81,8 +81,8 @@ def classify_edges(edges: DataFrame, blocks: DataFrame, limits: Limits = DEFAULT
         members = members.distinct()
     of_src = members.withColumnRenamed("block_id", "_from")
     of_dst = members.select(F.col("src").alias("dst"), F.col("block_id").alias("_to"))
-    found = lookup(edges, "src", of_src, heavy_keys(edges, "src", limits))
-    found = lookup(found, "dst", of_dst, heavy_keys(edges, "dst", limits))
+    found = lookup(edges, "src", of_src, group_sizes(edges, "src", limits).heavy)
+    found = lookup(found, "dst", of_dst, group_sizes(edges, "dst", limits).heavy)
     return found.select(
         *[found[name] for name in edges.columns],
         F.coalesce(F.col("_from") == F.col("_to"), F.lit(False)).alias("is_local"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjrank.functions.blocks import integer_div, range_of
 from adjrank.operators.position import global_index
-from adjrank.operators.skew import heavy_keys, split_heavy
+from adjrank.operators.skew import group_sizes, split_heavy
 from adjrank.session import DEFAULT_LIMITS, Limits
 
 
@@ -24,20 +24,29 @@ def adjacency_to_edges(adj: DataFrame) -> DataFrame:
 def edges_to_adjacency(edges: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """Gather links by source into rows ``(src, segment, dst)``, ascending.
 
-    A vertex with more than ``limits.max_links`` links (more, if that is needed
-    to keep the list of such vertices small enough to broadcast) is spread over
-    several rows, segments 0, 1, … of its sorted list; every other vertex is one
-    row, segment 0. Its edges are ordered by a range sort, so no task gathers
-    more than ``max_links`` of them. ``edges`` is read twice, first to count.
+    A vertex is one row, segment 0, unless it has more than ``limits.max_links``
+    links; then every ``max_links`` of its sorted list are a segment of their
+    own. ``edges`` is read twice, first to count.
+
+    The few vertices with too many links for one task are never gathered: their
+    edges are put in order by a range sort and cut into segments by position.
     """
     edges = edges.select("src", "dst")
-    heavy = heavy_keys(edges, "src", limits)
+    sizes = group_sizes(edges, "src", limits)
     light = edges
-    if heavy is not None:
-        light, many = split_heavy(edges, "src", heavy)
+    if sizes.heavy is not None:
+        light, many = split_heavy(edges, "src", sizes.heavy)
     rows = light.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("dst"))
-    rows = rows.select("src", F.lit(0).cast("bigint").alias("segment"), "dst")
-    return rows if heavy is None else rows.unionByName(_segments(many, limits.max_links))
+    if sizes.largest > limits.max_links:
+        starts = F.sequence(F.lit(1), F.size("dst"), F.lit(limits.max_links))
+        pieces = F.transform(starts, lambda at: F.slice("dst", at, F.lit(limits.max_links)))
+        rows = rows.select("src", F.posexplode(pieces).alias("segment", "dst"))
+    else:
+        rows = rows.withColumn("segment", F.lit(0))
+    rows = rows.select("src", F.col("segment").cast("bigint").alias("segment"), "dst")
+    if sizes.heavy is not None:
+        rows = rows.unionByName(_segments(many, limits.max_links))
+    return rows
 
 
 def _segments(edges: DataFrame, max_links: int) -> DataFrame:

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adjrank.session import DEFAULT_LIMITS, Limits, cut
 
 
-def heavy_keys(
-    df: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS, weight: Column | None = None
-) -> DataFrame | None:
-    """Keys whose total weight (rows by default) is above the limit, or None.
+class GroupSizes(NamedTuple):
+    """Largest group of a table, and the keys of groups too large for one task, or None."""
+
+    largest: int
+    heavy: DataFrame | None
+
+
+def group_sizes(df: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> GroupSizes:
+    """Measure the groups of ``df``, one pass over the key.
 
     The counts are pre-aggregated before their shuffle. At most
     ``limits.broadcast_rows`` keys can be heavy, see ``Limits.heavy_above``.
     """
-    counts = df.groupBy(key).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
     if total is None:
-        return None
+        return GroupSizes(0, None)
     limit = limits.heavy_above(total)
-    if largest <= limit:
-        return None
-    return cut(counts.where(F.col("n") > limit).select(key))
+    heavy = cut(counts.where(F.col("n") > limit).select(key)) if largest > limit else None
+    return GroupSizes(largest, heavy)
 
 
 def split_heavy(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:

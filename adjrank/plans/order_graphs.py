@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjrank.operators.convert import attach_rank, edges_to_adjacency
 from adjrank.operators.position import global_index
-from adjrank.operators.skew import heavy_keys, split_heavy
+from adjrank.operators.skew import group_sizes, split_heavy
 from adjrank.session import DEFAULT_LIMITS, Limits, cut
 
 # Line numbers repeat within an order; the further columns settle the order of lines.
@@ -24,7 +24,7 @@ def basket_edges(lineitem: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFr
     put in order by a range sort; their neighbours meet by position.
     """
     lines = lineitem.select(*LINE_ORDER)
-    heavy = heavy_keys(lines, "l_orderkey", limits)
+    heavy = group_sizes(lines, "l_orderkey", limits).heavy
     if heavy is None:
         steps = _next_in_window(lines)
     else:

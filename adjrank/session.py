@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Limits:
-    """Sizes that decide how a step is executed, never what it returns.
+    """Sizes that decide how the work is spread, never its results.
 
-    max_links       most links of one vertex that may meet in one task or array
+    max_links       most links in a row that an operator builds, and the size
+                    from which a group may count as too large for one task
     broadcast_rows  most rows that are ever broadcast
     """
 

@@ -119,18 +119,17 @@ def mixed(source: str, value: str, name: str) -> str:
 def picked(name: str, begin: str, wanted: str, choices: str) -> str:
     """CTEs for ``wanted`` distinct draws of ``[0, choices)`` per vertex."""
     some = f"(select src, {begin} as begin, least({wanted}, {choices}) as m, {choices} as c from k)"
-    draw = f"(select *, unnest(range(0, 2 * m + 16)) as j from {some} where m > 0 and c > 4 * m + 64)"
-    each = f"(select *, unnest(range(0, c)) as j from {name}_short)"
-    drawn = mixed(draw, f"begin + j * {STRIDE}", "h")
-    every = mixed(each, f"begin + j * {STRIDE}", "h")
+    each = f"(select *, unnest(range(0, m)) as i from {some} where m > 0)"
     return f"""
-{name}_draws as (select src, m, h % c as pick, min(j) as j from {drawn} group by src, m, h % c),
-{name}_first as (select src, pick, m, row_number() over (partition by src order by j) as rn from {name}_draws),
-{name}_full as (select src from {name}_first group by src, m having count(*) >= m),
-{name}_short as (select * from {some} where m > 0 and src not in (select src from {name}_full)),
-{name}_every as (select src, m, j as pick, row_number() over (partition by src order by h, j) as rn from {every}),
-{name} as (select src, pick from {name}_first where rn <= m and src in (select src from {name}_full)
-  union all select src, pick from {name}_every where rn <= m)"""
+{name}_draws as (select src, i, m, c - m + i as last, h % (c - m + i + 1) as value
+  from {mixed(each, f"begin + (i + 1) * {STRIDE}", "h")}),
+{name}_picks as (
+  select src, m, 0 as i, []::bigint[] as picks from {some} where m > 0
+  union all
+  select p.src, p.m, p.i + 1,
+    list_append(p.picks, case when list_contains(p.picks, d.value) then d.last else d.value end)
+  from {name}_picks p join {name}_draws d on d.src = p.src and d.i = p.i),
+{name} as (select src, unnest(picks) as pick from {name}_picks where i = m)"""
 
 
 def generated() -> str:
@@ -140,7 +139,7 @@ def generated() -> str:
     for number, name in enumerate(("s0", "s1", "s2")):
         streams = mixed(streams, f"seeded + src // {PRIME} + {number * STRIDE}", name)
     degree = mixed(streams, "s0", "h0")
-    return f"""with n as (select count(*) as n from orders),
+    return f"""with recursive n as (select count(*) as n from orders),
 b as (select src, n, src - src % {size} as start, least(n - (src - src % {size}), {size}) as members
   from (select n, unnest(range(0, n)) as src from n)),
 k as (select src, n, start, members, s1, s2, h0 % {2 * DEGREE} as k,
