@@ -24,7 +24,7 @@ from adjrank.functions.blocks import check_block_size
 from adjrank.operators.blocks import BY, block_bounds
 from adjrank.operators.layout import Layout, start_vector
 from adjrank.operators.product import MAX_ITERATIONS, finish, iterate, total
-from adjrank.session import DEFAULT_LIMITS, Limits
+from adjrank.session import DEFAULT_LIMITS, Limits, cut
 
 
 def partitioned_matvec(
@@ -91,7 +91,8 @@ def block_step(vector: DataFrame, layout: Layout, inner: int, first: bool) -> Da
     both sums are formed and no link has to look up its destination.
     """
     share = (F.col("rank") / F.col("deg")).alias("part")
-    local = _local_ranks(vector, layout, inner)
+    # Two passes over the cached links, each in a plan of its own.
+    local = cut(_local_ranks(vector, layout, inner)) if inner else vector
     if not first:
         far = layout.sent_by(local, ["far"]).select(F.explode("far").alias("id"), share)
         return total(vector.select("id", F.lit(0.0).alias("part")).unionAll(far))
@@ -117,8 +118,6 @@ def block_step(vector: DataFrame, layout: Layout, inner: int, first: bool) -> Da
 
 def _local_ranks(vector: DataFrame, layout: Layout, inner: int) -> DataFrame:
     """Ranks after the local passes, for every id of the vector."""
-    if inner == 0:
-        return vector
     near = layout.sent_by(vector, ["near"]).select(
         F.explode("near").alias("id"),
         F.lit(None).cast("double").alias("rank"),
