@@ -30,30 +30,39 @@ def _big(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
 
-def mix_all(values: Column) -> Column:
-    """Scramble an array of non-negative bigints into ``[0, PRIME)``.
+def _first(value: Column) -> Column:
+    return ((value % _big(PRIME)) * ROUND_1[0] + ROUND_1[1]) % _big(PRIME)
 
-    One pass per round: each lambda names the value it uses twice, so the
-    expression does not grow from round to round.
-    """
-    values = F.transform(values, lambda v: ((v % _big(PRIME)) * ROUND_1[0] + ROUND_1[1]) % _big(PRIME))
-    values = F.transform(
-        values, lambda v: ((v + integer_div(v, FOLD_12)) * ROUND_2[0] + ROUND_2[1]) % _big(PRIME)
-    )
-    return F.transform(
-        values, lambda v: ((v + integer_div(v, FOLD_23)) * ROUND_3[0] + ROUND_3[1]) % _big(PRIME)
-    )
 
+def _fold(value: Column, fold: int, factor: int, offset: int) -> Column:
+    return ((value + integer_div(value, fold)) * factor + offset) % _big(PRIME)
 
-def mix(value: Column) -> Column:
-    """Scramble one non-negative bigint into ``[0, PRIME)``."""
-    return F.get(mix_all(F.array(value)), F.lit(0))
 
+def with_mixed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add the non-negative bigint ``value`` scrambled into ``[0, PRIME)``.
 
-def stream(vertex: Column, seed: int, number: int) -> Column:
-    """Start value of one of a vertex's independent streams of draws."""
-    seeded = mix(vertex + _big(seed % PRIME))
-    return mix(seeded + integer_div(vertex, PRIME) + _big(number * STRIDE))
+    A column per round: each round names its value twice, and one nested
+    expression would grow from round to round.
+    """
+    mixed = F.col(name)
+    df = df.withColumn(name, _first(value))
+    return df.withColumn(name, _fold(mixed, FOLD_12, *ROUND_2)).withColumn(name, _fold(mixed, FOLD_23, *ROUND_3))
+
+
+def mix_all(values: Column) -> Column:
+    """The same for every element of an array, one pass per round."""
+    values = F.transform(values, _first)
+    values = F.transform(values, lambda v: _fold(v, FOLD_12, *ROUND_2))
+    return F.transform(values, lambda v: _fold(v, FOLD_23, *ROUND_3))
+
+
+def with_streams(df: DataFrame, vertex: Column, seed: int, names: list[str]) -> DataFrame:
+    """Add the start values of a vertex's independent streams of draws."""
+    df = with_mixed(df, "_seeded", vertex + _big(seed % PRIME))
+    for number, name in enumerate(names):
+        start = F.col("_seeded") + integer_div(vertex, PRIME) + _big(number * STRIDE)
+        df = with_mixed(df, name, start)
+    return df.drop("_seeded")
 
 
 def with_distinct_draws(

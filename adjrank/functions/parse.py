@@ -14,36 +14,43 @@ and the rank are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-INTEGER = r"^[+-]?[0-9]+$"
+CONTROL = r"\p{Cntrl}"
+
+
+def parse_lines(df: DataFrame, line: Column, ranked: bool) -> DataFrame:
+    """``value`` and ``row``, the line's ``struct(src, dst[, rank])``; NULL when malformed.
+
+    Every stage is a column of its own, and the row comes out of a generator:
+    so a filter on it cannot make Spark parse a second time.
+    """
+    tokens, src, declared = F.col("_tokens"), F.col("_src"), F.col("_declared")
+    wanted, links, whole, rank = F.col("_wanted"), F.col("_links"), F.col("_whole"), F.col("_rank")
+    df = df.withColumn("_line", F.rtrim(line))
+    # A cast would trim a control character off an integer, which is not one with it.
+    visible = F.when(
+        F.col("_line").rlike(CONTROL), F.regexp_replace("_line", CONTROL, "?")
+    ).otherwise(F.col("_line"))
+    df = df.withColumn("_tokens", F.split(visible, " "))
+    df = df.withColumn("_src", F.get(tokens, F.lit(0)).try_cast("bigint"))
+    df = df.withColumn("_declared", F.get(tokens, F.lit(1)).try_cast("bigint"))
+    short = F.size(tokens) - 2 < declared
+    df = df.withColumn("_wanted", F.when(short, F.size(tokens) - 3).otherwise(declared).cast("int"))
+    read = F.slice(tokens, F.lit(3), F.greatest(wanted, F.lit(0)))
+    df = df.withColumn("_links", read.try_cast("array<bigint>"))
+    df = df.withColumn("_whole", ~F.exists(links, lambda link: link.isNull()))
+    df = df.withColumn("_rank", F.substring_index("_line", " ", -1).try_cast("double"))
 
-
-def _integer(token: Column) -> Column:
-    return F.when(token.rlike(INTEGER), token.try_cast("bigint"))
-
-
-def _tokens(line: Column) -> Column:
-    return F.split(F.rtrim(line), " ")
-
-
-def parse_adjacency(line: Column) -> Column:
-    """``struct(src, dst)`` of a line, NULL when the line is malformed."""
-    tokens = _tokens(line)
-    src = _integer(F.get(tokens, F.lit(0)))
-    declared = _integer(F.get(tokens, F.lit(1)))
-    wanted = F.when(F.size(tokens) < declared + 2, F.size(tokens) - 3).otherwise(declared).cast("int")
-    links = F.transform(F.slice(tokens, F.lit(3), F.greatest(wanted, F.lit(0))), _integer)
     first_bad = F.array_position(F.transform(links, lambda link: link.isNull()), True).cast("int")
-    kept = F.when(first_bad == 0, links).otherwise(F.slice(links, F.lit(1), F.greatest(first_bad - 1, F.lit(0))))
-    well_formed = src.isNotNull() & declared.isNotNull() & (wanted >= 0)
-    return F.when(well_formed, F.struct(src.alias("src"), kept.alias("dst")))
-
-
-def parse_rank(line: Column) -> Column:
-    """Last token of a line as a number, NULL when it is none."""
-    return F.element_at(_tokens(line), -1).try_cast("double")
+    kept = F.when(whole, links).otherwise(F.slice(links, F.lit(1), first_bad - 1))
+    fields = [src.alias("src"), kept.alias("dst")]
+    good = src.isNotNull() & declared.isNotNull() & (wanted >= 0)
+    if ranked:
+        fields.append(rank.alias("rank"))
+        good &= rank.isNotNull()
+    return df.select("value", F.explode(F.array(F.when(good, F.struct(*fields)))).alias("row"))
 
 
 def adjacency_line(src: Column, dst: Column, rank: Column | None = None) -> Column:

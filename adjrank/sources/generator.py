@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjrank.functions.blocks import block_of
-from adjrank.functions.draws import mix, stream, with_distinct_draws
-
-# Numbers of the three streams a vertex draws from.
-DEGREE, LOCAL, EXTERNAL = 0, 1, 2
+from adjrank.functions.draws import with_distinct_draws, with_mixed, with_streams
 
 
 def generate_blocked_graph(
@@ -44,14 +41,17 @@ def generate_blocked_graph(
         .select(F.col("id").alias("src"))
         .withColumn("start", block_of(src, block_size) * block_size)
         .withColumn("members", F.least(F.lit(n) - start, F.lit(block_size)).cast("bigint"))
-        .withColumn("k", mix(stream(src, seed, DEGREE)) % (2 * degree))
-        # Single precision: the ratio is a float wherever this graph is defined.
-        .withColumn("border", F.floor(F.lit(border_ratio).cast("float") * k.cast("float")))
     )
-    df = with_distinct_draws(df, "near", stream(src, seed, LOCAL), k - border, members - 1, block_size)
-    df = with_distinct_draws(df, "far", stream(src, seed, EXTERNAL), border, F.lit(n) - members, n)
+    df = with_streams(df, src, seed, ["of_degree", "of_near", "of_far"])
+    df = with_mixed(df, "k", F.col("of_degree")).withColumn("k", k % (2 * degree))
+    # Single precision: the ratio is a float wherever this graph is defined.
+    df = df.withColumn("border", F.floor(F.lit(border_ratio).cast("float") * k.cast("float")))
+    df = with_distinct_draws(df, "near", F.col("of_near"), k - border, members - 1, block_size)
+    df = with_distinct_draws(df, "far", F.col("of_far"), border, F.lit(n) - members, n)
 
     # The picks skip the vertex itself, and its block.
     near = F.transform("near", lambda p: F.when(start + p < src, start + p).otherwise(start + p + 1))
     far = F.transform("far", lambda p: F.when(p < start, p).otherwise(p + members))
-    return df.select("src", F.array_sort(F.concat(near, far)).alias("dst"), F.lit(1.0).alias("rank"))
+    dst = F.array_sort(F.concat(near, far))
+    # Out of a generator, no later filter on the list can compute it a second time.
+    return df.select("src", F.explode(F.array(dst)).alias("dst")).withColumn("rank", F.lit(1.0))

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjrank.functions.parse import INTEGER, adjacency_line, parse_adjacency, parse_rank
+from adjrank.functions.parse import adjacency_line, parse_lines
 
 MODES = ("DROPMALFORMED", "FAILFAST", "PERMISSIVE")
 
 
-def _apply_mode(df: DataFrame, malformed: Column, columns: list[Column], mode: str) -> DataFrame:
-    """Select ``columns`` of the lines, treating malformed ones as ``mode`` says."""
+def _read_lines(spark: SparkSession, path, mode: str, keyed: bool, names: list[str]) -> DataFrame:
+    """Columns ``names`` of the lines, treating malformed ones as ``mode`` says."""
     mode = mode.upper()
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    line = F.substring_index("value", "\t", -1) if keyed else F.col("value")
+    df = parse_lines(spark.read.text(path), line, "rank" in names)
+    malformed = F.col("row").isNull()
+    columns = [F.col("row")[name].alias(name) for name in names]
     if mode == "PERMISSIVE":
-        nulled = [F.when(~malformed, column) for column in columns]
-        names = ["src", "dst", "rank"][: len(columns)]
-        return df.select(
-            *[column.alias(name) for column, name in zip(nulled, names)],
-            F.when(malformed, F.col("value")).alias("_corrupt_record"),
-        )
+        return df.select(*columns, F.when(malformed, F.col("value")).alias("_corrupt_record"))
     if mode == "FAILFAST":
         # In the filter, so that the check is not lost when columns are pruned.
         failed = F.raise_error(F.concat(F.lit("malformed adjacency line: "), F.col("value")))
@@ -29,43 +28,36 @@ def _apply_mode(df: DataFrame, malformed: Column, columns: list[Column], mode: s
     return df.where(~malformed).select(*columns)
 
 
-def _lines(spark: SparkSession, path, keyed: bool) -> tuple[DataFrame, Column]:
-    df = spark.read.text(path)
-    return df, F.element_at(F.split("value", "\t"), -1) if keyed else F.col("value")
-
-
 def read_ranked_adjacency(
     spark: SparkSession, path, mode: str = "DROPMALFORMED", keyed: bool = False
 ) -> DataFrame:
     """Lines ``src n d1 ... dn rank`` as ``(src, dst, rank)``.
 
-    ``keyed`` reads only the part after the last TAB of every line.
+    ``mode`` is that of Spark's own readers; PERMISSIVE adds the malformed line
+    as ``_corrupt_record``. ``keyed`` reads only what follows the last TAB.
     """
-    df, line = _lines(spark, path, keyed)
-    df = df.select("value", parse_adjacency(line).alias("row"), parse_rank(line).alias("rank"))
-    malformed = F.col("row").isNull() | F.col("rank").isNull()
-    return _apply_mode(df, malformed, [F.col("row.src"), F.col("row.dst"), F.col("rank")], mode)
+    return _read_lines(spark, path, mode, keyed, ["src", "dst", "rank"])
 
 
 def read_adjacency(
     spark: SparkSession, path, mode: str = "DROPMALFORMED", keyed: bool = False
 ) -> DataFrame:
     """Lines ``src n d1 ... dn`` as ``(src, dst)``; see :func:`read_ranked_adjacency`."""
-    df, line = _lines(spark, path, keyed)
-    df = df.select("value", parse_adjacency(line).alias("row"))
-    return _apply_mode(df, F.col("row").isNull(), [F.col("row.src"), F.col("row.dst")], mode)
+    return _read_lines(spark, path, mode, keyed, ["src", "dst"])
 
 
 def read_rank_vector(spark: SparkSession, path) -> DataFrame:
     """Whitespace-separated ``id rank`` lines; lines that do not parse are skipped."""
     tokens = F.split(F.regexp_replace("value", r"^\s+", ""), r"\s+")
-    first = F.get(tokens, F.lit(0))
+    df = spark.read.text(path).withColumn("_tokens", tokens)
+    row = F.struct(
+        F.get("_tokens", F.lit(0)).try_cast("bigint").alias("id"),
+        F.get("_tokens", F.lit(1)).try_cast("double").alias("rank"),
+    )
+    # Out of a generator, so that the filter does not tokenize a second time.
     return (
-        spark.read.text(path)
-        .select(
-            F.when(first.rlike(INTEGER), first.try_cast("bigint")).alias("id"),
-            F.get(tokens, F.lit(1)).try_cast("double").alias("rank"),
-        )
+        df.select(F.explode(F.array(row)).alias("row"))
+        .select("row.*")
         .where("id is not null and rank is not null")
     )
 
