@@ -20,7 +20,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adjrank.functions.blocks import check_block_size
+from adjrank.functions.blocks import block_of, check_block_size
 from adjrank.operators.blocks import BY, block_bounds
 from adjrank.operators.layout import Layout, start_vector
 from adjrank.operators.product import MAX_ITERATIONS, finish, iterate, total
@@ -56,18 +56,19 @@ def partitioned_matvec_iterate(
         raise ValueError(f"by must be one of {', '.join(BY)}")
     if inner < 0:
         raise ValueError("inner must not be negative")
-    start = start_vector(ranked)
+    start = start_vector(ranked, limits)
+    block = partial(block_of, block_size=block_size) if by == "range" else None
 
     def lay_out(ids: DataFrame) -> Layout:
-        return start.lay_out(limits, ["near", "far"], partial(_split_links, block_size, by, ids))
+        return start.lay_out(["near", "far"], partial(_split_links, block_size, by, ids), block)
 
     def step(vector: DataFrame, layout: Layout, first: bool) -> DataFrame:
         return block_step(vector, layout, inner, first)
 
-    layout = lay_out(start.vector)
-    again = lay_out if by == "position" else None
-    vector = iterate(start, layout, step, outer, threshold, max_iterations, rearrange=again)
-    return finish(start, layout, vector, output)
+    vector = iterate(
+        start, lay_out, step, outer, threshold, max_iterations, by_ids=by == "position"
+    )
+    return finish(start, vector, output)
 
 
 def _split_links(block_size: int, by: str, ids: DataFrame, rows: DataFrame, own: Callable) -> DataFrame:
@@ -91,11 +92,13 @@ def block_step(vector: DataFrame, layout: Layout, inner: int, first: bool) -> Da
     both sums are formed and no link has to look up its destination.
     """
     share = (F.col("rank") / F.col("deg")).alias("part")
+    vector = layout.place(vector)
     # Two passes over the cached links, each in a plan of its own.
-    local = cut(_local_ranks(vector, layout, inner)) if inner else vector
+    local = cut(local_ranks(vector, layout, inner)) if inner else vector
+    vector = vector.select("id")
     if not first:
         far = layout.sent_by(local, ["far"]).select(F.explode("far").alias("id"), share)
-        return total(vector.select("id", F.lit(0.0).alias("part")).unionAll(far))
+        return layout.place(total(vector.withColumn("part", F.lit(0.0)).unionAll(far)))
 
     sent = layout.sent_by(local, ["near", "far"]).select(
         F.size("far").alias("border"), share, F.posexplode(F.concat("far", "near")).alias("at", "id")
@@ -113,19 +116,31 @@ def block_step(vector: DataFrame, layout: Layout, inner: int, first: bool) -> Da
         F.sum("far").alias("far"), F.sum("near").alias("near"), F.max("has_row").alias("has_row")
     )
     near = F.when(F.col("has_row"), F.lit(0.0)).otherwise(F.coalesce("near", F.lit(0.0)))
-    return sums.select("id", (F.coalesce("far", F.lit(0.0)) + near).alias("rank"))
+    return layout.place(sums.select("id", (F.coalesce("far", F.lit(0.0)) + near).alias("rank")))
 
 
-def _local_ranks(vector: DataFrame, layout: Layout, inner: int) -> DataFrame:
+def local_ranks(vector: DataFrame, layout: Layout, inner: int) -> DataFrame:
     """Ranks after the local passes, for every id of the vector."""
-    near = layout.sent_by(vector, ["near"]).select(
-        F.explode("near").alias("id"),
-        F.lit(None).cast("double").alias("rank"),
-        (F.col("rank") / F.col("deg")).alias("part"),
-    )
-    known = vector.select("id", "rank", F.lit(None).cast("double").alias("part"))
-    sums = known.unionAll(near).groupBy("id").agg(F.max("rank").alias("rank"), F.sum("part").alias("part"))
-    # An id without a row has no rank here; it sends nothing.
-    return sums.where(F.col("rank").isNotNull()).select(
-        "id", F.coalesce(F.col("part") * F.lit(inner), F.col("rank")).alias("rank")
-    )
+    share = (F.col("rank") / F.col("deg")).alias("part")
+    if layout.block is not None:
+        # A block's rows and ranks share a partition, and local links stay in their block.
+        known, sums = vector.select("of", "id", "rank"), []
+        sent = layout.sent_by_light(known, ["near"]).select("of", F.explode("near").alias("id"), share)
+        sums.append(sent.groupBy("of", "id").agg(F.sum("part").alias("light")))
+        if layout.heavy is not None:
+            sent = layout.sent_by_heavy(known, ["near"]).select("of", F.explode("near").alias("id"), share)
+            sent = sent.groupBy("id").agg(F.sum("part").alias("heavy"))
+            sums.append(layout.place(sent))
+        for received in sums:
+            known = known.join(received.hint("merge"), ["of", "id"], "left")
+        parts = [F.col(name) for name in ("light", "heavy") if name in known.columns]
+        part = parts[0] if len(parts) == 1 else F.coalesce(parts[0] + parts[1], *parts)
+    else:
+        nothing = F.lit(None).cast("double")
+        near = layout.sent_by(vector, ["near"]).select(F.explode("near").alias("id"), nothing.alias("rank"), share)
+        known = vector.select("id", "rank", nothing.alias("part")).unionAll(near).groupBy("id")
+        known = known.agg(F.max("rank").alias("rank"), F.sum("part").alias("part"))
+        # An id without a row has no rank here; it sends nothing.
+        known, part = known.where(F.col("rank").isNotNull()), F.col("part")
+    rank = F.coalesce(part * F.lit(inner), F.col("rank")).alias("rank")
+    return known.select(*[c for c in ("of", "id") if c in known.columns], rank)

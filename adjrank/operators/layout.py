@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adjrank.operators.skew import split_heavy
 from adjrank.session import Limits, cut, shuffle_partitions
 
+# Blocks per partition from which hashing whole blocks is even enough.
+BLOCKS_PER_PARTITION = 4
 
-def start_vector(ranked: DataFrame) -> StartVector:
+
+def start_vector(ranked: DataFrame, limits: Limits) -> StartVector:
     """Read the vertices of ranked rows: their rank, degree and number.
 
     The rows of one vertex have to differ in ``segment``; without that column
@@ -38,7 +42,7 @@ def start_vector(ranked: DataFrame) -> StartVector:
     ).first()
     if repeated:
         raise ValueError(f"{repeated} vertices have several rows; number them in a column 'segment'")
-    return StartVector(ranked, vector.drop("copies"), vertices, links or 0, largest or 0)
+    return StartVector(ranked, vector.drop("copies"), vertices, links or 0, largest or 0, limits)
 
 
 @dataclass(frozen=True)
@@ -50,93 +54,116 @@ class StartVector:
     vertices: int
     links: int
     largest: int
+    limits: Limits
 
     @property
-    def links_of(self) -> DataFrame:
+    def rows(self) -> DataFrame:
         """Rows without their rank."""
         return self.ranked.select(*[c for c in ("src", "segment", "dst") if c in self.ranked.columns])
 
+    @property
+    def segmented(self) -> bool:
+        return "segment" in self.ranked.columns
+
+    @property
+    def small(self) -> bool:
+        """Whether the ranks of all vertices with a row may be broadcast."""
+        return self.vertices <= self.limits.broadcast_rows
+
+    @cached_property
+    def heavy_ids(self) -> DataFrame | None:
+        """Vertices with too many links for one task; few enough to broadcast."""
+        limit = self.limits.heavy_above(self.links)
+        if self.small or self.largest <= limit:
+            return None
+        return cut(self.vector.where(F.col("deg") > limit).select("id"))
+
+    def senders(self, vector: DataFrame) -> DataFrame:
+        """The ranks of vertices with a row, few enough to broadcast when ``small``."""
+        return vector.join(F.broadcast(self.vector.select("id")), "id", "left_semi")
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rows of ordinary and of heavy vertices."""
+        if self.heavy_ids is None:
+            return rows, None
+        return split_heavy(rows, "src", self.heavy_ids.withColumnRenamed("id", "src"))
+
+    def even_blocks(self, block: Callable[[Column], Column]) -> bool:
+        """Whether whole blocks, hashed to partitions, give partitions of even size."""
+        light = self.vector
+        if self.heavy_ids is not None:
+            light = light.join(F.broadcast(self.heavy_ids), "id", "left_anti")
+        sums = light.groupBy(block(F.col("id")).alias("block")).agg(F.sum("deg").alias("links"))
+        blocks, largest = sums.agg(F.count("*"), F.max("links")).first()
+        partitions = shuffle_partitions(light.sparkSession)
+        enough = blocks >= BLOCKS_PER_PARTITION * partitions
+        return enough and largest <= max(self.limits.max_links, self.links // partitions)
+
     def lay_out(
         self,
-        limits: Limits,
         columns: list[str],
         derive: Callable[[DataFrame, Callable], DataFrame] = lambda rows, own: rows,
+        block: Callable[[Column], Column] | None = None,
     ) -> Layout:
         """Partition and cache the links, keeping ``columns`` of ``derive(rows, own)``.
 
         ``derive`` may join facts about the vertices, one row per ``src``, as
-        ``rows.join(own(facts), "src")``.
+        ``rows.join(own(facts), "src")``. With ``block`` the rows of a block of
+        vertices go to one partition, unless that would make uneven partitions.
         """
-        rows = self.links_of.where(F.size("dst") > 0)
-        segmented = "segment" in rows.columns
+        rows = self.rows.where(F.size("dst") > 0)
         degrees = self.vector.select(F.col("id").alias("src"), "deg")
         partitions = shuffle_partitions(rows.sparkSession)
-        small = self.vertices <= limits.broadcast_rows
 
-        def ready(part: DataFrame, degrees: DataFrame, own: Callable) -> DataFrame:
+        def ready(part: DataFrame, own: Callable) -> DataFrame:
             """Rows of some vertices with their degree; ``own`` selects these vertices' facts."""
-            if segmented:
+            if self.segmented:
                 part = part.join(own(degrees), "src")
             else:
                 part = part.withColumn("deg", F.size("dst").cast("bigint"))
             return derive(part, own).select("src", "deg", *columns)
 
-        if small:
-            # Ranks are broadcast, so any even spread of the rows will do.
-            rows = rows.repartition(partitions, "src", *["segment"] * segmented)
-            light = ready(rows, degrees, F.broadcast).persist()
-            return Layout(light, None, None, self.vector.select("id"), limits, True)
-
-        heavy = keys = None
-        limit = limits.heavy_above(self.links)
-        if self.largest > limit:
-            keys = cut(degrees.where(F.col("deg") > limit).select("src"))
-
-            def of_keys(facts: DataFrame) -> DataFrame:
-                return F.broadcast(facts.join(F.broadcast(keys), "src", "left_semi"))
-
-            rows, heavy = split_heavy(rows, "src", keys)
-            heavy = ready(heavy, degrees, of_keys).persist()
-            keys = keys.withColumnRenamed("src", "id")
-        light = ready(rows.repartition(partitions, "src"), degrees, lambda facts: facts)
-        light = light.sortWithinPartitions("src").persist()
+        # Where ranks are broadcast, any even spread of the rows will do.
+        spread = ["src"] + ["segment"] * self.segmented
+        if self.small:
+            rows = rows.repartition(partitions, *spread)
+            return Layout(self, ready(rows, F.broadcast).persist(), None, None)
+
+        rows, heavy = self.split(rows)
+        if heavy is not None:
+            keys = F.broadcast(self.heavy_ids.withColumnRenamed("id", "src"))
+            heavy = heavy.repartition(partitions, *spread)
+            heavy = ready(heavy, lambda facts: F.broadcast(facts.join(keys, "src", "left_semi"))).persist()
+        if block is None or not self.even_blocks(block):
+            block = None
+            light = ready(rows.repartition(partitions, "src"), lambda facts: facts)
+            light = light.sortWithinPartitions("src").persist()
+        else:
+            light = ready(rows, lambda facts: facts).withColumn("block", block(F.col("src")))
+            light = light.repartition(partitions, "block").sortWithinPartitions("block", "src").persist()
         # A cached plan tells its partitioning only after it has run.
         light.count()
-        return Layout(light, heavy, keys, self.vector.select("id"), limits, False)
+        return Layout(self, light, heavy, block)
 
-    def attach_links(self, vector: DataFrame, layout: Layout) -> DataFrame:
+    def attach_links(self, vector: DataFrame) -> DataFrame:
         """Ranked rows of a later vector; ids without a row get an empty list."""
-        rows, heavy = self.links_of, None
-        if layout.keys is not None:
-            rows, heavy = split_heavy(rows, "src", layout.keys.withColumnRenamed("id", "src"))
-        found = meet(layout.senders(vector), rows, heavy, layout.keys, layout.small)
+        light, heavy = self.split(self.rows)
+        here = F.col("id") == F.col("src")
+        if self.small:
+            found = light.join(F.broadcast(self.senders(vector)), here)
+        else:
+            found = light.join(vector, here)
+        if heavy is not None:
+            ranks = vector.join(F.broadcast(self.heavy_ids), "id", "left_semi")
+            found = found.unionByName(heavy.join(F.broadcast(ranks), here))
         fresh = (
             vector.join(self.vector.select("id"), "id", "left_anti")
             .withColumn("src", F.col("id"))
             .withColumn("dst", F.array().cast("array<bigint>"))
         )
-        if "segment" in rows.columns:
+        if self.segmented:
             fresh = fresh.withColumn("segment", F.lit(0).cast("bigint"))
-        return found.unionByName(fresh).select(*rows.columns, "rank")
-
-
-def meet(
-    vector: DataFrame, light: DataFrame, heavy: DataFrame | None, keys: DataFrame | None, small: bool
-) -> DataFrame:
-    """Rows with the rank of their vertex, ``vector.id = src``.
-
-    Three ways, by checked size: broadcast a small vector; let light rows meet
-    it by a shuffle or a kept partitioning; broadcast the ranks of the heavy
-    vertices only, and leave their rows in place.
-    """
-    here = F.col("id") == F.col("src")
-    if small:
-        return light.join(F.broadcast(vector), here)
-    met = vector.join(light.hint("merge"), here)
-    if heavy is None:
-        return met
-    ranks = vector.join(F.broadcast(keys), "id", "left_semi")
-    return met.unionByName(heavy.join(F.broadcast(ranks), here))
+        return found.unionByName(fresh).select(*self.rows.columns, "rank")
 
 
 @dataclass
@@ -144,33 +171,55 @@ class Layout:
     """Cached links, laid out once for all steps of a loop.
 
     light   rows ``(src, deg, …)`` in one partitioning for all steps
-    heavy   rows of the few vertices with very many links, left where they
-            were read, or None
-    keys    ``id`` of these vertices, at most ``limits.broadcast_rows``
-    rows    ``id`` of every vertex with a row
-    small   these are few enough to broadcast their ranks
-    grown   a vector with the ids that have none would not be
+    heavy   rows of the few vertices with very many links, spread evenly, or None
+    block   gives the block of a vertex if rows and vectors are partitioned by
+            it, in the columns ``block`` and ``of``; else they are by vertex
+    grown   ids without a row have made the vector too long to broadcast
     """
 
+    start: StartVector
     light: DataFrame
     heavy: DataFrame | None
-    keys: DataFrame | None
-    rows: DataFrame
-    limits: Limits
-    small: bool
+    block: Callable[[Column], Column] | None
     grown: bool = False
 
-    def senders(self, vector: DataFrame) -> DataFrame:
-        """The part of a vector to broadcast: at most as long as the start vector."""
-        if self.small and self.grown:
-            return vector.join(F.broadcast(self.rows), "id", "left_semi")
-        return vector
-
     def sent_by(self, vector: DataFrame, columns: list[str]) -> DataFrame:
-        """``columns`` of every vertex's links, with the vector's columns and ``deg``."""
+        """``columns`` of every vertex's links, with the vector's columns and ``deg``.
+
+        Three ways, by checked size: broadcast a small vector; let the light
+        rows meet it in their partitioning; broadcast the ranks of the heavy
+        vertices only, so that their rows stay spread out.
+        """
         columns = ["src", "deg", *columns]
-        heavy = None if self.heavy is None else self.heavy.select(*columns)
-        return meet(self.senders(vector), self.light.select(*columns), heavy, self.keys, self.small)
+        here = F.col("id") == F.col("src")
+        if self.start.small:
+            ranks = self.start.senders(vector) if self.grown else vector
+            return self.light.select(*columns).join(F.broadcast(ranks), here)
+        sent = self.sent_by_light(vector, columns[2:])
+        if self.heavy is None:
+            return sent
+        return sent.unionByName(self.sent_by_heavy(vector, columns[2:]))
+
+    def sent_by_light(self, vector: DataFrame, columns: list[str]) -> DataFrame:
+        """The part of ``sent_by`` that keeps the partitioning, of a vector not small."""
+        here = F.col("id") == F.col("src")
+        if self.block is None:
+            return vector.join(self.light.select("src", "deg", *columns).hint("merge"), here)
+        here &= F.col("of") == F.col("block")
+        return vector.join(self.light.select("block", "src", "deg", *columns).hint("merge"), here).drop("block")
+
+    def sent_by_heavy(self, vector: DataFrame, columns: list[str]) -> DataFrame:
+        """The part of ``sent_by`` for the heavy vertices."""
+        here = F.col("id") == F.col("src")
+        ranks = vector.join(F.broadcast(self.start.heavy_ids), "id", "left_semi")
+        return self.heavy.select("src", "deg", *columns).join(F.broadcast(ranks), here)
+
+    def place(self, vector: DataFrame) -> DataFrame:
+        """Bring a vector to the partitions of its blocks, if rows are placed so."""
+        if self.block is None or "of" in vector.columns:
+            return vector
+        partitions = shuffle_partitions(vector.sparkSession)
+        return vector.withColumn("of", self.block(F.col("id"))).repartition(partitions, "of")
 
     def unpersist(self) -> None:
         for rows in (self.light, self.heavy):

@@ -50,10 +50,19 @@ def matvec_iterate(
     ``ranked`` is read twice, once for the vertices and once for the links;
     save or checkpoint it first when it is expensive to compute.
     """
-    start = start_vector(ranked)
-    layout = start.lay_out(limits, ["dst"])
-    vector = iterate(start, layout, naive_step, iterations, threshold, max_iterations)
-    return finish(start, layout, vector, output)
+    start = start_vector(ranked, limits)
+    vector = iterate(
+        start, lambda _: start.lay_out(["dst"]), naive_step, iterations, threshold, max_iterations, opening=_opening
+    )
+    return finish(start, vector, output)
+
+
+def _opening(start: StartVector) -> DataFrame:
+    """A first step straight from the rows, which carry rank and degree: no join, nothing cached."""
+    received = start.ranked.select(
+        F.explode("dst").alias("id"), (F.col("rank") / F.greatest(F.size("dst"), F.lit(1))).alias("part")
+    )
+    return total(start.vector.select("id", F.lit(0.0).alias("part")).unionAll(received))
 
 
 def naive_step(vector: DataFrame, layout: Layout, first: bool) -> DataFrame:
@@ -85,48 +94,60 @@ def loop_options(iterations: int | None, threshold: float | None) -> tuple[int |
 
 def iterate(
     start: StartVector,
-    layout: Layout,
+    lay_out: Callable[[DataFrame], Layout],
     step: Callable[[DataFrame, Layout, bool], DataFrame],
     iterations: int | None,
     threshold: float | None,
     max_iterations: int,
-    rearrange: Callable[[DataFrame], Layout] | None = None,
+    opening: Callable[[StartVector], DataFrame] | None = None,
+    by_ids: bool = False,
 ) -> DataFrame:
     """Run ``step(vector, layout, first)`` until done and return the last vector.
 
-    The lineage is cut after each step. ``rearrange`` gives another layout
-    after the first step, should that have brought new ids.
+    The lineage is cut after each step. ``opening`` is a way to take the first
+    step without a layout, for rows that are not segmented. ``by_ids`` says
+    that the layout depends on the ids of the vector and has to be made again
+    when the first step has brought new ones.
     """
-    vector = start.vector.select("id", "rank")
-    done = 0
+    iterations, threshold = loop_options(iterations, threshold)
+    vector, layout, done = start.vector.select("id", "rank"), None, 0
+    spark = vector.sparkSession
+    if start.segmented:
+        opening = None
     try:
-        iterations, threshold = loop_options(iterations, threshold)
-        # Large vectors keep their partitioning from step to step.
-        with nullcontext() if layout.small else static_plans(vector.sparkSession):
-            while start.vertices:
-                new = cut(step(vector, layout, done == 0))
-                done += 1
-                moving = None
-                if threshold is not None:
+        while start.vertices:
+            if done == 0 and opening is not None:
+                new = cut(opening(start))
+            else:
+                layout = layout or lay_out(vector)
+                # Large vectors keep their partitioning from step to step.
+                with nullcontext() if start.small else static_plans(spark):
+                    new = cut(step(vector, layout, done == 0))
+            done += 1
+            moving = None
+            if threshold is not None:
+                with nullcontext() if start.small else static_plans(spark):
                     moving = unconverged_count(vector, new, threshold).first()[0]
-                    log.info("step %d: %d ranks still moving", done, moving)
-                vector = new
-                if moving == 0 or done == iterations:
-                    break
-                if iterations is None and done >= max_iterations:
-                    raise RuntimeError(f"{moving} ranks still moving after {done} steps")
-                if done == 1:
-                    ids = vector.count()
-                    if ids > start.vertices and rearrange is not None:
-                        layout.unpersist()
-                        layout = rearrange(vector)
-                    layout.grown = ids > layout.limits.broadcast_rows
+                log.info("step %d: %d ranks still moving", done, moving)
+            vector = new
+            if moving == 0 or done == iterations:
+                break
+            if iterations is None and done >= max_iterations:
+                raise RuntimeError(f"{moving} ranks still moving after {done} steps")
+            if done == 1:
+                ids = vector.count()
+                if layout is not None and by_ids and ids > start.vertices:
+                    layout.unpersist()
+                    layout = None
+                layout = layout or lay_out(vector)
+                layout.grown = ids > start.limits.broadcast_rows
     finally:
-        layout.unpersist()
-    return vector
+        if layout is not None:
+            layout.unpersist()
+    return vector.select("id", "rank")
 
 
-def finish(start: StartVector, layout: Layout, vector: DataFrame, output: str) -> DataFrame:
+def finish(start: StartVector, vector: DataFrame, output: str) -> DataFrame:
     if output not in OUTPUTS:
         raise ValueError(f"output must be one of {', '.join(OUTPUTS)}")
-    return vector if output == "vector" else start.attach_links(vector, layout)
+    return vector if output == "vector" else start.attach_links(vector)

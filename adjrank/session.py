@@ -73,18 +73,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# Keep partitionings through checkpoints, and accept one by some of the join keys.
+STATIC = {
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+}
+
+
 @contextmanager
 def static_plans(spark: SparkSession):
-    """Plan without AQE inside the block.
+    """Plan with the partitioning the data has, inside the block.
 
     A checkpoint of an adaptive plan forgets how its rows are partitioned. In
     a loop that costs one more shuffle per step, and the loops here are
     balanced by construction, so there is nothing for AQE to repair.
     """
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    before = {key: spark.conf.get(key) for key in STATIC}
+    for key, value in STATIC.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from adjrank import Limits, attach_rank, edges_to_adjacency, generate_blocked_graph, sort_by_rank, transpose
-from adjrank.operators.block_product import _local_ranks, _split_links, block_step
+from adjrank.functions import block_of
+from adjrank.operators.block_product import local_ranks, _split_links, block_step
 from adjrank.operators.layout import start_vector
-from adjrank.operators.product import naive_step
+from adjrank.operators.product import _opening, naive_step
 from adjrank.plans.order_graphs import supply_edges
 from adjrank.session import cut, ensure_checkpoint_dir, static_plans
 
@@ -45,10 +46,9 @@ def with_hub(spark, graph):
     return cut(graph.withColumn("segment", F.lit(0).cast("bigint")).unionByName(rows))
 
 
-def steps(graph, limits, columns=("dst",), derive=None):
-    start = start_vector(graph)
-    layout = start.lay_out(limits, list(columns), *([] if derive is None else [derive]))
-    return start, layout
+def steps(graph, limits):
+    start = start_vector(graph, limits)
+    return start, start.lay_out(["dst"])
 
 
 def test_a_large_step_shuffles_only_the_contributions(spark, graph):
@@ -67,14 +67,14 @@ def test_a_large_step_shuffles_only_the_contributions(spark, graph):
 
 
 def test_a_large_block_step_shuffles_only_sums(spark, graph):
-    start = start_vector(graph)
+    start = start_vector(graph, Limits(broadcast_rows=10))
     derive = partial(_split_links, 100, "range", start.vector)
-    layout = start.lay_out(Limits(broadcast_rows=10), ["near", "far"], derive)
+    layout = start.lay_out(["near", "far"], derive)
     try:
         with static_plans(spark):
             one = cut(block_step(start.vector.select("id", "rank"), layout, 1, True))
             passes = {
-                "near": physical(_local_ranks(one, layout, 1)),
+                "near": physical(local_ranks(one, layout, 1)),
                 "far": physical(block_step(one, layout, 1, False)),
             }
     finally:
@@ -86,10 +86,38 @@ def test_a_large_block_step_shuffles_only_sums(spark, graph):
         assert links in scan and {"near": "far", "far": "near"}[links] not in scan
 
 
+def test_blocks_are_brought_together(spark, graph):
+    start = start_vector(graph, Limits(broadcast_rows=10))
+    derive, block = partial(_split_links, 50, "range", start.vector), partial(block_of, block_size=50)
+    layout = start.lay_out(["near", "far"], derive, block)
+    try:
+        assert layout.block is not None
+        with static_plans(spark):
+            one = cut(block_step(start.vector.select("id", "rank"), layout, 1, True))
+            near, step = physical(local_ranks(one, layout, 1)), physical(block_step(one, layout, 1, False))
+    finally:
+        layout.unpersist()
+    # Local sums never leave their block's partition; only external ones and the new vector move.
+    assert len(exchanges(near)) == 0 and near.count("InMemoryTableScan") == 1, near
+    assert len(exchanges(step)) == 2 and step.count("InMemoryTableScan") == 1, step
+    assert exchanges(step)[0].count("of#") == 1 and "partial_sum" in step
+    # Too few blocks, or one with too many links: by vertex.
+    for size in (100, 2000):
+        layout = start.lay_out(["near", "far"], derive, partial(block_of, block_size=size))
+        layout.unpersist()
+        assert layout.block is None
+
+
+def test_a_single_step_caches_nothing(spark, graph):
+    start = start_vector(graph, Limits(broadcast_rows=10))
+    plan = physical(_opening(start))
+    assert len(exchanges(plan)) == 1 and "Join" not in plan and "InMemory" not in plan
+
+
 def test_heavy_vertices_are_not_shuffled(spark, graph):
     start, layout = steps(with_hub(spark, graph), Limits(max_links=100, broadcast_rows=100))
     try:
-        assert [r["id"] for r in layout.keys.collect()] == [5000]
+        assert [r["id"] for r in start.heavy_ids.collect()] == [5000]
         assert layout.heavy.count() == 20 and layout.light.where("src = 5000").count() == 0
         with static_plans(spark):
             one = cut(naive_step(start.vector.select("id", "rank"), layout, True))
@@ -105,20 +133,20 @@ def test_heavy_vertices_are_not_shuffled(spark, graph):
 @pytest.mark.parametrize("by", [None, "range", "position"])
 def test_every_step_reads_the_cached_links(spark, graph, limits, by):
     rows = with_hub(spark, graph)
-    start = start_vector(rows)
+    start = start_vector(rows, limits)
     if by is None:
-        layout = start.lay_out(limits, ["dst"])
+        layout = start.lay_out(["dst"])
         step = naive_step
     else:
         derive = partial(_split_links, 100, by, start.vector)
-        layout = start.lay_out(limits, ["near", "far"], derive)
+        layout = start.lay_out(["near", "far"], derive)
         step = partial(block_step, inner=1)
     try:
         vector = start.vector.select("id", "rank")
-        assert (layout.heavy is not None) != layout.small
+        assert (layout.heavy is not None) != start.small
         for first in (True, False):
             new = step(vector, layout, first=first)
-            assert physical(new).count("InMemoryTableScan") == (1 if layout.small else 2)
+            assert physical(new).count("InMemoryTableScan") == (1 if start.small else 2)
             vector = cut(new)
     finally:
         layout.unpersist()
