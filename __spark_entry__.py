@@ -30,6 +30,7 @@ from adjrank.session import cut, scratch_path  # noqa: E402
 DIGITS = 9
 BLOCK = 256
 WIDE_BLOCK = 4 * SUPPLIER_BASE
+LARGE_PART = 25
 GENERATOR = {"degree": 5, "border_ratio": 0.3, "block_size": 128, "seed": 42}
 SPLITS = 7
 # Small limits that send test-sized graphs down the ways meant for large ones.
@@ -61,9 +62,15 @@ def _supply(spark, sf_dir, both_ways=False, limits=ar.DEFAULT_LIMITS) -> DataFra
     return ranked_rows(supply_edges(_lineitem(spark, sf_dir), both_ways), limits)
 
 
+def _of_large_parts(spark, sf_dir, graph: DataFrame) -> DataFrame:
+    """Rows or edges that start at a large part; small parts stay destinations."""
+    parts = _table(spark, sf_dir, "part").where(F.col("p_size") > LARGE_PART)
+    return graph.join(parts.select(F.col("p_partkey").alias("src")), "src", "left_semi")
+
+
 def _gappy(spark, sf_dir) -> DataFrame:
-    """Basket graph without the rows of every third vertex; these stay destinations."""
-    return cut(_basket(spark, sf_dir).where("src % 3 <> 0"))
+    """Basket graph in which only large parts have a row."""
+    return cut(_of_large_parts(spark, sf_dir, _basket(spark, sf_dir)))
 
 
 def _listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -180,7 +187,7 @@ def generate_blocked_graph(spark, sf_dir):
 
 
 def ranked_from_decoded(spark, sf_dir):
-    edges = basket_edges(_lineitem(spark, sf_dir)).where("src % 2 = 0")
+    edges = _of_large_parts(spark, sf_dir, basket_edges(_lineitem(spark, sf_dir)))
     n = _table(spark, sf_dir, "part").count()
     return _listed(ar.ranked_from_decoded(cut(edges), n, SPLITS), "segment", "rank", "split")
 
@@ -327,10 +334,9 @@ def partitioned_matvec_gappy(spark, sf_dir):
 
 
 def _two_vectors(spark, sf_dir):
-    """Ranks after one and two steps, the former without every seventh vertex."""
-    rows = _basket(spark, sf_dir)
-    one = ar.matvec_iterate(rows, 1, output="vector").where("id % 7 <> 0")
-    return one, ar.matvec_iterate(rows, 2, output="vector")
+    """Ranks along baskets, and along lines to suppliers, which only this vector has."""
+    along_baskets = ar.matvec_iterate(_basket(spark, sf_dir), 1, output="vector")
+    return along_baskets, ar.matvec_iterate(_supply(spark, sf_dir, both_ways=True), 2, output="vector")
 
 
 def rank_deltas(spark, sf_dir):

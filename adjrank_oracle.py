@@ -25,7 +25,7 @@ BASKET = """
   where dst is not null and src <> dst"""
 TO_SUPPLIER = f"select l_partkey as src, l_suppkey + {SUPPLIER_BASE} as dst from lineitem"
 BOTH_WAYS = f"{TO_SUPPLIER} union all select l_suppkey + {SUPPLIER_BASE}, l_partkey from lineitem"
-GAPPY = f"select * from ({BASKET}) where src % 3 <> 0"
+GAPPY = f"select * from ({BASKET}) where src in (select p_partkey from part where p_size > 25)"
 
 LISTS = f"""with e as ({BASKET}),
 o as (select src, dst, row_number() over (partition by src order by dst) as rn, count(*) over (partition by src) as n from e)
@@ -175,9 +175,10 @@ select id, round(r, 9) as rank from ({steps}) where step = (select step from set
 
 
 def two_vectors() -> str:
-    return f"""{naive(BASKET, 2)},
-delta as (select id, case when a.r is null then b.r when b.r is null then a.r else abs(a.r - b.r) end as delta
-  from (select * from r1 where id % 7 <> 0) a full outer join r2 b using (id))"""
+    """Differences of ranks on two graphs; suppliers are in the second only."""
+    return f"""with a as ({vector(naive(BASKET, 1), 1).replace("round(r, 9)", "r")}),
+b as ({vector(naive(BOTH_WAYS, 2), 2).replace("round(r, 9)", "r")}),
+delta as (select id, coalesce(abs(a.rank - b.rank), a.rank, b.rank) as delta from a full outer join b using (id))"""
 
 
 def statements() -> dict[str, str]:
@@ -205,7 +206,7 @@ from ({listed(BASKET, ", count(*) / 4.0::double as rank")})""",
         "write_rank_vector": vector(basket_1, 1),
         "write_pairs": f"select a || chr(9) || b as line from ({pairs(basket_1, 1)})",
         "generate_blocked_graph": generated(),
-        "ranked_from_decoded": f"""with e as (select * from ({BASKET}) where src % 2 = 0),
+        "ranked_from_decoded": f"""with e as ({GAPPY}),
 a as ({listed("select * from e")}),
 i as ({ranges("select count(*) from part", str(SPLITS))})
 select id as src, coalesce(n_links, 0) as n_links, coalesce(links, '') as links,
