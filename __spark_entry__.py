@@ -393,8 +393,26 @@ def entry(spark: SparkSession) -> DataFrame:
     return naive_nsd(spark, "/root/testdata/sf0.001")
 
 
+def _optional():
+    """Modules with the queries on training text and the pipeline over them; none if they are not there."""
+    try:
+        import corpus_pipeline
+        from adjrank.llm import queries as texts
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "adjrank.llm"):
+            raise
+        return None, None
+    return texts, corpus_pipeline
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """One entry per operator; each takes the session and a table folder."""
+    """Every query; each takes the session and a table folder."""
+    texts, pipeline = _optional()
+    return graph_queries() | ({**texts.queries(), "pipeline": pipeline.run} if texts else {})
+
+
+def graph_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """One entry per graph operator."""
     plain = [
         read_ranked_adjacency, read_adjacency, read_rank_vector, graph_roundtrip,
         format_ranked_adjacency, format_adjacency, write_edges, write_rank_vector, write_pairs,
@@ -422,7 +440,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL with the same result for every query."""
+    """DuckDB SQL with the same result for every query that SQL can express."""
     import adjrank_oracle
 
-    return adjrank_oracle.statements()
+    texts, pipeline = _optional()
+    own = {**texts.oracle_sql(), "pipeline": pipeline.ORACLE_SQL} if texts else {}
+    return adjrank_oracle.statements() | {name: sql for name, sql in own.items() if sql}
