@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjrank.llm import bpe, quality, url_rules, warc
+from adjrank.llm import bpe, hmm, ngram_join, packing, quality, toxicity, url_rules, warc
 from adjrank.session import scratch_path
 
 #: Fixed by the contract.
@@ -20,6 +20,7 @@ URL_RULES = [
     url_rules.Rule("com", "/de/", "block"),
 ]
 TOKEN_LIMIT = 1024
+END_ID = 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,18 @@ def op3_warc_revisits(spark, sf_dir):
     )
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.components(_documents(spark, sf_dir))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.packed(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END_ID)
+
+
+def op7_hidden_markov(spark, sf_dir):
+    return hmm.score(_documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.quality(_documents(spark, sf_dir))
 
@@ -54,8 +67,15 @@ def op9_token_counts(spark, sf_dir):
     return bpe.token_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), limit=TOKEN_LIMIT)
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
 def queries():
-    each = [op2_url_rules, op3_warc_revisits, op8_quality_rules, op9_token_counts]
+    each = [
+        op2_url_rules, op3_warc_revisits, op4_ngram_join, op6_best_fit_packing, op7_hidden_markov,
+        op8_quality_rules, op9_token_counts, op10_toxicity,
+    ]
     return {query.__name__: query for query in each}
 
 

@@ -44,7 +44,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, BLOCK_BYTES)
+            size = 1 << max(n - 1, 1).bit_length()
             for name, base in (("up", STEP), ("down", pow(STEP, -1, 1 << 64))):
                 each = np.full(size, base, np.uint64)
                 each[0] = 1
