@@ -1,8 +1,8 @@
 """WARC archives: writing, reading, and resolving revisits by payload digest.
 
 Records are written by Spark's text writer, one record a row, with the two
-empty lines that end a record as line separator; so archives can be in any
-store that Spark writes to. They are read as whole files and cut by their
+empty lines that end a record as line separator, and compressed; so archives
+can be in any store that Spark writes to. They are read as whole files and cut by their
 Content-Length headers.
 
 Resolving shuffles headers only (key, digest, size): for each digest the
@@ -21,6 +21,7 @@ empty archives.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -117,7 +118,7 @@ def write_archives(records: DataFrame, path: str) -> None:
         _field("Content-Length", F.octet_length("block").cast("string")),
     )
     rows = records.withColumn("block", block).select(F.concat(header, F.lit(END), "block").alias("value"))
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    rows.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 RECORD = T.StructType(
@@ -147,13 +148,13 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record under ``path``; a response's payload is held against its digest."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for headers, block in parse(content.as_py()):
+                for headers, block in parse(gzip.decompress(content.as_py())):
                     head, _, payload = block.partition(END.encode())
                     size = int(LENGTH.search(head).group(1))
                     if headers["WARC-Type"] == "response":
