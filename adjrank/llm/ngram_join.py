@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adjrank.llm.components import connected_components
 from adjrank.llm.sums import SCHEMA, slices, summed
@@ -173,6 +174,15 @@ def _offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
 
 
+def _nodes(part: pa.RecordBatch, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Class of each text of a block from its distinct shingles."""
+    order = np.argsort(rows, kind="stable")
+    n = np.bincount(rows, minlength=part.num_rows)
+    ends, sums = np.cumsum(n), np.zeros(len(rows) + 1, np.uint64)
+    np.cumsum(mix(hashes[order]), out=sums[1:])
+    return mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
+
+
 def _texts(docs: DataFrame, key: str, text: str, like: Likeness, wanted: DataFrame) -> DataFrame:
     """``node`` and ``text`` of the classes in ``wanted`` (``key``, ``node``), taken from the class's first row."""
     # by key, which spreads the copies; a key that has several texts needs the class as well
@@ -184,12 +194,7 @@ def _texts(docs: DataFrame, key: str, text: str, like: Likeness, wanted: DataFra
         for batch in batches:
             for block, rows, hashes in _sets(batch.column(1), like.words, weights):
                 part = batch.slice(block.first, block.rows)
-                order = np.argsort(rows, kind="stable")
-                n = np.bincount(rows, minlength=block.rows)
-                ends, sums = np.cumsum(n), np.zeros(len(rows) + 1, np.uint64)
-                np.cumsum(mix(hashes[order]), out=sums[1:])
-                node = mix(sums[ends] - sums[ends - n] + n.astype(np.uint64)).view(np.int64)
-                yield part.filter(pa.array(node == part.column(0).to_numpy()))
+                yield part.filter(pa.array(_nodes(part, rows, hashes) == part.column(0).to_numpy()))
 
     return found.select("node", "text").mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
 
@@ -292,3 +297,31 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", like: L
     alone = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     out = found.select("key", "n", F.coalesce("component_id", "key").alias("component_id")).unionByName(alone)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:  # noqa: B008
+    """The rows of ``docs`` that have the smallest key of their group, one for each group, and all without shingles.
+
+    Rows that repeat a key and its shingle set are one group, of which one row stays.
+    """
+    rows, links = similar_classes(docs, key, text, like)
+    joined = connected_components(links)
+    placed = rows.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = placed.groupBy("c").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1")
+    kept = placed.join(least, "c", "left").where("n = 0 or size is null or key <=> least").groupBy("key", "node").agg(F.count("*").alias("copies"))
+    kept = cut(kept)
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    found = wide.join(kept, F.col(f"doc.`{key}`").eqNullSafe(F.col("key"))).select("node", F.col(f"doc.`{text}`").alias("text"), "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = byte_weights(True)
+        for batch in batches:
+            for block, rows, hashes in _sets(batch.column(1), like.words, weights):
+                part = batch.slice(block.first, block.rows)
+                yield part.filter(pa.array(_nodes(part, rows, hashes) == part.column(0).to_numpy())).select(["node", "doc"])
+
+    schema = T.StructType([T.StructField("node", T.LongType()), found.schema["doc"]])
+    one = found.mapInArrow(run, schema)
+    if not kept.where("copies > 1").isEmpty():
+        one = one.withColumn("key", F.col(f"doc.`{key}`")).dropDuplicates(["key", "node"])
+    return one.select("doc.*")

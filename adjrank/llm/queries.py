@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjrank.llm import bpe, hmm, ngram_join, packing, quality, toxicity, url_rules, warc
+from adjrank.llm import bpe, hmm, mixing, ngram_join, packing, quality, spotsigs, toxicity, url_rules, warc
 from adjrank.session import scratch_path
 
 #: Fixed by the contract.
@@ -31,6 +31,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def op1_spotsigs(spark, sf_dir):
+    return spotsigs.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op2_url_rules(spark, sf_dir):
     return url_rules.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -51,6 +55,10 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.components(_documents(spark, sf_dir))
 
 
+def op5_source_mix(spark, sf_dir):
+    return mixing.Mix(_documents(spark, sf_dir)).taken().withColumnRenamed("key", "doc_id")
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.packed(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END_ID)
 
@@ -73,8 +81,8 @@ def op10_toxicity(spark, sf_dir):
 
 def queries():
     each = [
-        op2_url_rules, op3_warc_revisits, op4_ngram_join, op6_best_fit_packing, op7_hidden_markov,
-        op8_quality_rules, op9_token_counts, op10_toxicity,
+        op1_spotsigs, op2_url_rules, op3_warc_revisits, op4_ngram_join, op5_source_mix,
+        op6_best_fit_packing, op7_hidden_markov, op8_quality_rules, op9_token_counts, op10_toxicity,
     ]
     return {query.__name__: query for query in each}
 

@@ -48,7 +48,7 @@ class Settings:
     hidden                length of a state in each direction
     trigrams              rows of the table of trigram vectors
     rare                  a word in fewer texts of the sample has no vector of its own
-    rounds, rate          passes over the sample, and the step size
+    updates, rate         steps of training, in whole passes over the sample, and their size
     every, looked         all windows are scored in every so many rounds, and so many of each text between
     """
 
@@ -60,7 +60,7 @@ class Settings:
     hidden: int = 8
     trigrams: int = 4096
     rare: int = 3
-    rounds: int = 8
+    updates: int = 320
     rate: float = 0.02
     every: int = 4
     looked: int = 6
@@ -282,7 +282,7 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings) -> Network:
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     updates = 0
     some: dict[int, tuple] = {}  # by batch, the windows that scored highest when all were last looked at
-    for turn in range(settings.rounds):
+    for turn in range(-(-settings.updates // len(batches))):
         for i, (words, y) in enumerate(batches):
             if not len(words.hashes):
                 continue
