@@ -6,7 +6,8 @@
    likeness share a shingle among their first ones, as many as the threshold
    leaves free to differ. Only these leading entries are multiplied.
 3. Within a shingle's column every class is first held against one central
-   class. That joins large groups of near copies in linear work.
+   class, and what that doesn't join against a few more. That joins large
+   groups of near copies in linear work.
 4. The product is then taken block by block between classes that are not
    joined yet. Blocks are ranges of set sizes, so that only neighbouring ones
    can hold likely pairs. Overlap counts are accumulated for each pair, and
@@ -43,6 +44,8 @@ from adjrank.session import cut, scratch_path
 CELLS_A_DOCUMENT, LEAST_BITS, MOST_BITS = 8, 16, 24
 #: Classes of a column that are held against one central class.
 COLUMN = 2000
+#: Pseudorandom centres of a column that its classes are held against after the first.
+CENTRES = 6
 PAIR_BYTES = 4 << 20
 
 
@@ -227,9 +230,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     entries = _entries(rows, classes)
     stars = _stars(entries)
     links = _checked(docs, key, text, like, classes, stars)
-    joined = connected_components(links)
-    pairs = _product(entries, joined, like)
-    pairs = cut(pairs)
+    # again with other central classes, for those that are not like the first ones
+    again = _other_stars(_unjoined(entries, connected_components(links)))
+    if not again.isEmpty():
+        links = cut(links.unionByName(_checked(docs, key, text, like, classes, again)))
+    pairs = cut(_product(_unjoined(entries, connected_components(links)), like))
     if not pairs.isEmpty():
         links = links.unionByName(_checked(docs, key, text, like, classes, pairs))
     return rows.select("key", "node", "n"), links
@@ -266,12 +271,27 @@ def _stars(entries: DataFrame) -> DataFrame:
     return cut(pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
-def _product(entries: DataFrame, joined: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of classes that are not joined and whose leading shingles overlap enough for their sizes."""
+def _unjoined(entries: DataFrame, joined: DataFrame) -> DataFrame:
+    """Entries with their component, of columns that don't lie within one: these have nothing left to multiply."""
     placed = entries.join(joined, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("component"))
-    # columns that lie within one component have nothing left to multiply
     spread = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    placed = cut(placed.join(spread.select("gram"), "gram", "left_semi").distinct())
+    return cut(placed.join(spread.select("gram"), "gram", "left_semi").distinct())
+
+
+def _other_stars(placed: DataFrame) -> DataFrame:
+    """For each class, of each of some pseudorandom centres of its columns, that of another component it shares most with."""
+    turns = [F.max(F.struct(F.xxhash64(F.lit(i), "node").alias("draw"), F.col("node").alias("centre"), F.col("component").alias("other"))) for i in range(CENTRES)]
+    centres = placed.groupBy("gram").agg(F.array(*turns).alias("centres"))
+    own = F.col("component")
+    met = F.filter("centres", lambda x: x["other"] != own)
+    votes = placed.join(centres, "gram").select("node", F.explode(met).alias("c")).groupBy("node", "c.draw", "c.centre").agg(F.count("*").alias("shared"))
+    ranked = Window.partitionBy("node").orderBy(F.desc("shared"), "draw")
+    best = votes.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= CENTRES)
+    return cut(best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+
+
+def _product(placed: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of classes that are not joined and whose leading shingles overlap enough for their sizes."""
     # blocks of set sizes: a set that links to a smaller one is in its block or the next
     block = F.floor(F.log("n") / float(np.log(like.over / like.under)))
     small = placed.select("gram", "node", "n", "component", F.explode(F.array(block, block + 1)).alias("block"))
