@@ -65,14 +65,9 @@ class Likeness:
         """SQL for the smallest intersection of sets of these sizes that links."""
         return f"ceil({self.under} * ({a} + {b}) / {self.under + self.over})"
 
-    def least_shared(self, a: str, b: str) -> str:
-        """SQL for how many leading shingles sets of these sizes share at least if they link.
-
-        Of the set whose leading part ends first, all shared ones among these are counted.
-        """
-        lead = lambda n: f"({n} - ceil({self.under} * {n} / {self.over}) + 1)"
-        rest = lambda n: f"({lead(n)} - ({n} - {self.least_overlap(a, b)}))"
-        return f"greatest(1, least({rest(a)}, {rest(b)}))"
+    def smallest(self, n: str) -> str:
+        """SQL for the size of the smallest set that links to one of this size."""
+        return f"ceil({self.under} * {n} / {self.over})"
 
 
 def _sets(texts: pa.Array, words: int, weights: np.ndarray):
@@ -231,10 +226,10 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     stars = _stars(entries)
     links = _checked(docs, key, text, like, classes, stars)
     # again with other central classes, for those that are not like the first ones
-    again = _other_stars(_unjoined(entries, connected_components(links)))
+    again = _other_stars(_unjoined(entries, connected_components(links), like))
     if not again.isEmpty():
         links = cut(links.unionByName(_checked(docs, key, text, like, classes, again)))
-    pairs = cut(_product(_unjoined(entries, connected_components(links)), like))
+    pairs = cut(_product(_unjoined(entries, connected_components(links), like), like))
     if not pairs.isEmpty():
         links = links.unionByName(_checked(docs, key, text, like, classes, pairs))
     return rows.select("key", "node", "n"), links
@@ -245,15 +240,15 @@ def _entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
     # of the rows of a class the one with the smallest key stands for it; repeated rows are told apart by nothing, and
     # their entries by nothing either: they are dropped as duplicates
     single = rows.where("n > 0").join(classes.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & F.col("key").eqNullSafe(F.col("label")), "left_semi")
-    each = single.select("node", "n", "common", F.explode(F.arrays_zip("leading", "seen")).alias("e"))
-    each = each.select("node", "n", "common", F.col("e.leading").alias("gram"), F.col("e.seen").alias("seen"))
+    each = single.select("node", "n", "common", F.posexplode(F.arrays_zip("leading", "seen")).alias("pos", "e"))
+    each = each.select("node", "n", "common", "pos", F.col("e.leading").alias("gram"), F.col("e.seen").alias("seen"))
     part = F.pmod(F.col("node"), F.ceil(F.col("seen") / COLUMN)).alias("part")
-    each = each.select("gram", part, "node", "n", "common", (F.col("seen") > COLUMN).alias("cut"))
+    each = each.select("gram", part, "node", "n", "common", "pos", (F.col("seen") > COLUMN).alias("cut"))
     group = F.struct("common", "node", "n")
     centre = F.max(group).over(_column())
     least, most = F.min("node").over(_column()), F.max("node").over(_column())
     out = each.withColumns({"centre": centre, "several": least < most}).where("several or cut")
-    return stored(out.select("gram", "part", "cut", "node", "n", "common", F.col("centre.node").alias("centre")), "entries")
+    return stored(out.select("gram", "part", "cut", "node", "n", "common", "pos", F.col("centre.node").alias("centre")), "entries")
 
 
 def _column():
@@ -271,11 +266,19 @@ def _stars(entries: DataFrame) -> DataFrame:
     return cut(pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
 
 
-def _unjoined(entries: DataFrame, joined: DataFrame) -> DataFrame:
-    """Entries with their component, of columns that don't lie within one: these have nothing left to multiply."""
-    placed = entries.join(joined, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("component"))
-    spread = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    return cut(placed.join(spread.select("gram"), "gram", "left_semi").distinct())
+def _unjoined(entries: DataFrame, joined: DataFrame, like: Likeness) -> DataFrame:
+    """Entries with their component that may be the first that two classes of different components share.
+
+    Before that first one, each class has no more entries than may differ
+    between sets of these sizes. Columns that lie within one component have
+    nothing left to multiply.
+    """
+    placed = entries.join(joined, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
+    for _ in range(2):  # what falls away leaves other columns within one component
+        spread = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).where("x < y")
+        placed = placed.join(spread.select("gram", "least"), "gram").withColumn("least", F.greatest("least", F.expr(like.smallest("n"))))
+        placed = placed.where(f"pos <= n - {like.least_overlap('n', 'least')}").drop("least")
+    return cut(placed.distinct())
 
 
 def _other_stars(placed: DataFrame) -> DataFrame:
@@ -294,15 +297,16 @@ def _product(placed: DataFrame, like: Likeness) -> DataFrame:
     """Pairs of classes that are not joined and whose leading shingles overlap enough for their sizes."""
     # blocks of set sizes: a set that links to a smaller one is in its block or the next
     block = F.floor(F.log("n") / float(np.log(like.over / like.under)))
-    small = placed.select("gram", "node", "n", "component", F.explode(F.array(block, block + 1)).alias("block"))
-    large = placed.select(
-        "gram", block.alias("block"), F.col("node").alias("node_y"), F.col("n").alias("n_y"), F.col("component").alias("component_y")
-    )
-    joined_pairs = small.join(large, ["gram", "block"]).where(
-        f"component <> component_y and (n < n_y or n = n_y and node < node_y) and {like.over} * n >= {like.under} * n_y"
+    small = placed.select("gram", "node", "n", "pos", "component", F.explode(F.array(block, block + 1)).alias("block"))
+    large = placed.select("gram", block.alias("block"), *(F.col(x).alias(f"{x}_y") for x in ("node", "n", "pos", "component")))
+    least = like.least_overlap("n", "n_y")
+    met = small.join(large, ["gram", "block"]).where(
+        f"component <> component_y and (n < n_y or n = n_y and node < node_y) and {like.over} * n >= {like.under} * n_y "
+        f"and pos <= n - {least} and pos_y <= n_y - {least}"
     )
-    counts = joined_pairs.groupBy(F.col("node").alias("a"), F.col("node_y").alias("b"), "n", "n_y").agg(F.count("*").alias("shared"))
-    return counts.where(f"shared >= {like.least_shared('n', 'n_y')}").select("a", "b")
+    counts = met.groupBy(F.col("node").alias("a"), F.col("node_y").alias("b"), "n", "n_y").agg(F.count("*").alias("shared"), F.max("pos").alias("p"), F.max("pos_y").alias("q"))
+    # beyond the last shared entry, at most the smaller rest is shared as well
+    return counts.where(f"shared + least(n - 1 - p, n_y - 1 - q) >= {least}").select("a", "b")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:  # noqa: B008
