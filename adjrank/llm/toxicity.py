@@ -60,7 +60,7 @@ class Settings:
     hidden: int = 8
     trigrams: int = 4096
     rare: int = 3
-    updates: int = 320
+    updates: int = 200
     rate: float = 0.02
     every: int = 4
     looked: int = 6
