@@ -19,23 +19,26 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import adjrank as ar  # noqa: E402
 from adjrank.functions import adjacency_line, block_of  # noqa: E402
 from adjrank.plans.order_graphs import (  # noqa: E402
-    SUPPLIER_BASE,
     basket_edges,
     basket_rows,
+    mixed_edges,
+    part_id,
     ranked_rows,
     supply_edges,
 )
-from adjrank.session import cut, scratch_path  # noqa: E402
+from adjrank.session import scratch_path, stored  # noqa: E402
 
 DIGITS = 9
 BLOCK = 256
-WIDE_BLOCK = 4 * SUPPLIER_BASE
-LARGE_PART = 25
+# Few vertices, so that there are many blocks for each partition of a small session.
+NARROW_BLOCK = 8
+WIDE_BLOCK = 512
 GENERATOR = {"degree": 5, "border_ratio": 0.3, "block_size": 128, "seed": 42}
 SPLITS = 7
 # Small limits that send test-sized graphs down the ways meant for large ones.
 TIGHT = ar.Limits(max_links=100, broadcast_rows=500)
-UNTIL = {"threshold": 0.02, "iterations": 8}
+UNTIL = {"threshold": 0.02}
+BLOCKED_UNTIL = {"threshold": 0.05}
 MOVED = 0.1
 TOP = 25
 
@@ -54,7 +57,7 @@ def _basket(spark, sf_dir) -> DataFrame:
 
 def _basket_lists(spark, sf_dir) -> DataFrame:
     """Basket rows with a rank that differs between vertices and prints alike everywhere."""
-    rows = ar.edges_to_adjacency(cut(basket_edges(_lineitem(spark, sf_dir)))).drop("segment")
+    rows = ar.edges_to_adjacency(stored(basket_edges(_lineitem(spark, sf_dir)), "edges"))
     return rows.withColumn("rank", F.size("dst") / F.lit(4.0))
 
 
@@ -62,15 +65,14 @@ def _supply(spark, sf_dir, both_ways=False, limits=ar.DEFAULT_LIMITS) -> DataFra
     return ranked_rows(supply_edges(_lineitem(spark, sf_dir), both_ways), limits)
 
 
-def _of_large_parts(spark, sf_dir, graph: DataFrame) -> DataFrame:
-    """Rows or edges that start at a large part; small parts stay destinations."""
-    parts = _table(spark, sf_dir, "part").where(F.col("p_size") > LARGE_PART)
-    return graph.join(parts.select(F.col("p_partkey").alias("src")), "src", "left_semi")
+def _gappy(spark, sf_dir, limits=ar.DEFAULT_LIMITS) -> DataFrame:
+    """Baskets and suppliers in one graph; suppliers, every other id, have no row."""
+    return ranked_rows(mixed_edges(_lineitem(spark, sf_dir)), limits)
 
 
-def _gappy(spark, sf_dir) -> DataFrame:
-    """Basket graph in which only large parts have a row."""
-    return cut(_of_large_parts(spark, sf_dir, _basket(spark, sf_dir)))
+def _hubs(spark, sf_dir) -> DataFrame:
+    """Rows in segments: suppliers have more links than one row may hold here."""
+    return _supply(spark, sf_dir, both_ways=True, limits=TIGHT)
 
 
 def _listed(rows: DataFrame, *columns: str) -> DataFrame:
@@ -148,7 +150,28 @@ def read_rank_vector(spark, sf_dir):
 def graph_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "graph")
     ar.save_graph(_basket_lists(spark, sf_dir), path)
-    return _listed(ar.load_graph(spark, path), "rank")
+    return _listed(ar.load_graph(spark, path), "segment", "rank")
+
+
+def graph_roundtrip_segments(spark, sf_dir):
+    """A step on a stored graph whose hubs have several rows."""
+    path = scratch_path(spark, "graph")
+    ar.save_graph(_hubs(spark, sf_dir), path)
+    return _rounded(ar.matvec_iterate(ar.load_graph(spark, path), 1, output="vector"))
+
+
+def text_roundtrip_segments(spark, sf_dir):
+    """The same through text, where a vertex is one line, split again into rows."""
+    path = scratch_path(spark, "lines")
+    ar.write_ranked_adjacency(_hubs(spark, sf_dir), path)
+    rows = ar.split_rows(ar.read_ranked_adjacency(spark, path), TIGHT)
+    return _rounded(ar.matvec_iterate(rows, 1, output="vector", limits=TIGHT))
+
+
+def split_rows(spark, sf_dir):
+    """Lists of suppliers cut into rows of at most 100 links."""
+    whole = ar.edges_to_adjacency(supply_edges(_lineitem(spark, sf_dir), both_ways=True))
+    return _listed(ar.split_rows(ar.merge_segments(whole), TIGHT), "segment")
 
 
 def format_ranked_adjacency(spark, sf_dir):
@@ -187,9 +210,10 @@ def generate_blocked_graph(spark, sf_dir):
 
 
 def ranked_from_decoded(spark, sf_dir):
-    edges = _of_large_parts(spark, sf_dir, basket_edges(_lineitem(spark, sf_dir)))
-    n = _table(spark, sf_dir, "part").count()
-    return _listed(ar.ranked_from_decoded(cut(edges), n, SPLITS), "segment", "rank", "split")
+    """Parts and their suppliers; the odd ids have no links."""
+    edges = supply_edges(_lineitem(spark, sf_dir))
+    n = 2 * _table(spark, sf_dir, "part").count()
+    return _listed(ar.ranked_from_decoded(stored(edges, "edges"), n, SPLITS), "segment", "rank", "split")
 
 
 # --- conversions -------------------------------------------------------------
@@ -229,9 +253,11 @@ def rank_vector(spark, sf_dir):
 
 
 def vertex_ranges(spark, sf_dir):
-    """Orders cut into as many ranges as there are suppliers."""
-    n, splits = (_table(spark, sf_dir, name).count() for name in ("orders", "supplier"))
-    return ar.vertex_ranges(spark, n, splits)
+    """Parts cut into as many ranges as there are suppliers, with the order lines of each."""
+    n, splits = (_table(spark, sf_dir, name).count() for name in ("part", "supplier"))
+    ranges = ar.vertex_ranges(spark, n, splits)
+    lines = _lineitem(spark, sf_dir).groupBy(ar.range_of(F.col("l_partkey"), n, splits).alias("split")).agg(F.count("*").alias("lines"))
+    return ranges.join(lines, "split", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
 def range_of(spark, sf_dir):
@@ -273,10 +299,18 @@ def _naive(steps: int, limits=ar.DEFAULT_LIMITS):
 
 def matvec_rows(spark, sf_dir):
     """One step with the lists attached; suppliers have no row and get an empty list."""
-    rows = ar.matvec(_supply(spark, sf_dir).drop("segment"))
+    rows = ar.matvec(_supply(spark, sf_dir))
     return _listed(rows, F.round("rank", DIGITS).alias("rank"))
 
 
+def matvec_resumed(spark, sf_dir):
+    """Two steps that are kept, and a third one from the second's vector."""
+    rows, keep = _basket(spark, sf_dir), scratch_path(spark, "steps")
+    ar.matvec_iterate(rows, 2, output="vector", keep=keep)
+    onward = ar.resume_rows(rows, ar.kept_step(spark, keep, 2))
+    return _rounded(ar.matvec_iterate(onward, 1, output="vector"))
+
+
 def matvec_dangling(spark, sf_dir):
     rows = ranked_rows(supply_edges(_lineitem(spark, sf_dir)).distinct())
     return _rounded(ar.matvec_iterate(rows, 1, output="vector"))
@@ -330,12 +364,37 @@ def partitioned_matvec_gappy(spark, sf_dir):
     return _rounded(ar.partitioned_matvec_iterate(rows, BLOCK, 2, 2, output="vector", limits=TIGHT))
 
 
+def partitioned_matvec_position_shuffled(spark, sf_dir):
+    """Blocks by position with small limits: nothing that grows with the ids may be broadcast."""
+    rows = _gappy(spark, sf_dir, TIGHT)
+    return _rounded(ar.partitioned_matvec_iterate(rows, BLOCK, 2, 2, by="position", output="vector", limits=TIGHT))
+
+
+def partitioned_matvec_co_located(spark, sf_dir):
+    """Many small blocks, so that whole blocks are hashed to partitions."""
+    rows = _basket(spark, sf_dir)
+    return _rounded(ar.partitioned_matvec_iterate(rows, NARROW_BLOCK, 2, 2, output="vector", limits=TIGHT))
+
+
+def partitioned_matvec_co_located_heavy(spark, sf_dir):
+    """The same with suppliers too large for one task."""
+    rows = _hubs(spark, sf_dir)
+    return _rounded(ar.partitioned_matvec_iterate(rows, NARROW_BLOCK, 2, 2, output="vector", limits=TIGHT))
+
+
+def partitioned_matvec_until(spark, sf_dir):
+    """Block steps until no rank moves by more than the threshold."""
+    rows = _basket(spark, sf_dir)
+    return _rounded(ar.partitioned_matvec_iterate(rows, BLOCK, inner=1, output="vector", **BLOCKED_UNTIL))
+
+
 # --- comparison --------------------------------------------------------------
 
 
 def _two_vectors(spark, sf_dir):
     """Ranks along baskets, and along lines to suppliers, which only this vector has."""
     along_baskets = ar.matvec_iterate(_basket(spark, sf_dir), 1, output="vector")
+    along_baskets = along_baskets.withColumn("id", part_id(F.col("id")))
     return along_baskets, ar.matvec_iterate(_supply(spark, sf_dir, both_ways=True), 2, output="vector")
 
 
@@ -352,12 +411,15 @@ def max_rank_difference(spark, sf_dir):
 # --- order, matching, applications ---------------------------------------------
 
 
+# Sorted results have the place at which each row came, so that their order is compared as well.
+
+
 def sort_by_rank(spark, sf_dir):
-    return ar.sort_by_rank(_step_1(spark, sf_dir))
+    return ar.number_rows(ar.sort_by_rank(_step_1(spark, sf_dir)))
 
 
 def top_k_by_rank(spark, sf_dir):
-    return ar.sort_by_rank(_step_1(spark, sf_dir), limit=TOP)
+    return ar.number_rows(ar.sort_by_rank(_step_1(spark, sf_dir), limit=TOP))
 
 
 def rank_position(spark, sf_dir):
@@ -369,15 +431,15 @@ def pair_adjacent(spark, sf_dir):
 
 
 def naive_nsd(spark, sf_dir):
-    return ar.naive_nsd(_basket(spark, sf_dir), 3, digits=DIGITS)
+    return ar.number_rows(ar.naive_nsd(_basket(spark, sf_dir), 3, digits=DIGITS))
 
 
 def partitioned_nsd(spark, sf_dir):
-    return ar.partitioned_nsd(_basket(spark, sf_dir), BLOCK, 2, digits=DIGITS)
+    return ar.number_rows(ar.partitioned_nsd(_basket(spark, sf_dir), BLOCK, 2, digits=DIGITS))
 
 
 def inner_outer_nsd(spark, sf_dir):
-    return ar.inner_outer_nsd(_basket(spark, sf_dir), BLOCK, 2, 2, digits=DIGITS)
+    return ar.number_rows(ar.inner_outer_nsd(_basket(spark, sf_dir), BLOCK, 2, 2, digits=DIGITS))
 
 
 def self_match(spark, sf_dir):
@@ -415,14 +477,17 @@ def graph_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per graph operator."""
     plain = [
         read_ranked_adjacency, read_adjacency, read_rank_vector, graph_roundtrip,
+        graph_roundtrip_segments, text_roundtrip_segments, split_rows,
         format_ranked_adjacency, format_adjacency, write_edges, write_rank_vector, write_pairs,
         generate_blocked_graph, ranked_from_decoded,
         attach_rank, adjacency_to_edges, edges_to_adjacency, transpose, transpose_segments,
         out_degree, rank_vector,
         vertex_ranges, range_of, assign_blocks, assign_blocks_position,
         classify_edges, classify_edges_heavy,
-        matvec_rows, matvec_dangling, matvec_multilink, matvec_heavy, matvec_until, unconverged_count,
+        matvec_rows, matvec_resumed, matvec_dangling, matvec_multilink, matvec_heavy, matvec_until, unconverged_count,
         partitioned_matvec_dangling, partitioned_matvec_position, partitioned_matvec_gappy,
+        partitioned_matvec_position_shuffled, partitioned_matvec_co_located, partitioned_matvec_co_located_heavy,
+        partitioned_matvec_until,
         rank_deltas, max_rank_difference,
         sort_by_rank, top_k_by_rank, rank_position, pair_adjacent,
         naive_nsd, partitioned_nsd, inner_outer_nsd, self_match, self_match_blocked,

@@ -22,9 +22,6 @@ FOLD_12 = 65536
 FOLD_23 = 32768
 STRIDE = 7919
 
-# Above this many choices a 31-bit value is widened before it is reduced.
-WIDE_RANGE = 1 << 24
-
 
 def _big(value: int) -> Column:
     return F.lit(value).cast("bigint")
@@ -66,14 +63,15 @@ def with_streams(df: DataFrame, vertex: Column, seed: int, names: list[str]) ->
 
 
 def with_distinct_draws(
-    df: DataFrame, name: str, start: Column, count: Column, choices: Column, most_choices: int
+    df: DataFrame, name: str, vertex: Column, start: Column, count: Column, choices: Column
 ) -> DataFrame:
     """Add ``count`` distinct values of ``[0, choices)``; all of them when there are fewer.
 
     A uniform sample without replacement from exactly ``count`` draws: number
     ``i`` is drawn from one value more than number ``i - 1``, and a value that
     was there already is replaced by that new value, which was not.
-    ``most_choices`` bounds ``choices`` over all rows.
+    A draw has 62 bits, of which the lower half also depends on the vertex itself,
+    as streams begin with 31 bits that two of very many vertices may share.
     """
     begin, wanted, drawn = F.col("_begin"), F.col("_wanted"), F.col("_drawn")
     none = F.array().cast("array<bigint>")
@@ -81,8 +79,8 @@ def with_distinct_draws(
     df = df.withColumn("_choices", choices).withColumn("_begin", start)
     df = df.withColumn("_wanted", F.greatest(F.least(count, F.col("_choices")), F.lit(0).cast("bigint")))
     draws = mix_all(F.transform(F.sequence(_big(1), wanted), lambda i: begin + i * STRIDE))
-    if most_choices > WIDE_RANGE:
-        draws = F.transform(draws, lambda v: v * _big(PRIME) + (v * ROUND_1[0] + begin) % _big(PRIME))
+    lower = (vertex % _big(PRIME)) * ROUND_2[0] + begin
+    draws = F.transform(draws, lambda v: v * _big(PRIME) + (v * ROUND_1[0] + lower) % _big(PRIME))
     # The last value draw i may take, for i = 0, 1, …
     draws = F.transform(
         draws, lambda v, i: F.struct(F.col("_choices") - wanted + i, v % (F.col("_choices") - wanted + i + 1))

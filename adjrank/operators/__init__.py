@@ -7,25 +7,31 @@ from adjrank.operators.convert import (
     adjacency_to_edges,
     attach_rank,
     edges_to_adjacency,
+    merge_segments,
     out_degree,
     rank_vector,
     ranked_from_decoded,
+    split_rows,
     transpose,
 )
-from adjrank.operators.product import matvec, matvec_iterate
+from adjrank.operators.product import NotSettled, kept_step, matvec, matvec_iterate, resume_rows
 from adjrank.operators.order import pair_adjacent, sort_by_rank
-from adjrank.operators.position import global_index
+from adjrank.operators.position import global_index, number_rows
 
 __all__ = [
+    "NotSettled",
     "adjacency_to_edges",
     "assign_blocks",
     "attach_rank",
     "classify_edges",
     "edges_to_adjacency",
     "global_index",
+    "kept_step",
     "matvec",
     "matvec_iterate",
     "max_rank_difference",
+    "merge_segments",
+    "number_rows",
     "out_degree",
     "pair_adjacent",
     "partitioned_matvec",
@@ -33,7 +39,9 @@ __all__ = [
     "rank_deltas",
     "rank_vector",
     "ranked_from_decoded",
+    "resume_rows",
     "sort_by_rank",
+    "split_rows",
     "transpose",
     "unconverged_count",
     "vertex_ranges",

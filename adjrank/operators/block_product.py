@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from adjrank.functions.blocks import block_of, check_block_size
 from adjrank.operators.blocks import BY, block_bounds
 from adjrank.operators.layout import Layout, start_vector
-from adjrank.operators.product import MAX_ITERATIONS, finish, iterate, total
+from adjrank.operators.product import finish, iterate, total
 from adjrank.session import DEFAULT_LIMITS, Limits, cut
+from adjrank.sources.generator import BLOCK_SIZE
 
 
 def partitioned_matvec(
-    ranked: DataFrame, block_size: int, inner: int = 1, by: str = "range", limits: Limits = DEFAULT_LIMITS
+    ranked: DataFrame, block_size: int = BLOCK_SIZE, inner: int = 1, by: str = "range", limits: Limits = DEFAULT_LIMITS
 ) -> DataFrame:
     """One block step on ranked rows; see :func:`partitioned_matvec_iterate`."""
     return partitioned_matvec_iterate(ranked, block_size, outer=1, inner=inner, by=by, limits=limits)
@@ -36,14 +37,15 @@ def partitioned_matvec(
 
 def partitioned_matvec_iterate(
     ranked: DataFrame,
-    block_size: int,
+    block_size: int = BLOCK_SIZE,
     outer: int | None = None,
     inner: int = 1,
     threshold: float | None = None,
     by: str = "range",
     output: str = "rows",
-    max_iterations: int = MAX_ITERATIONS,
+    max_iterations: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    keep: str | None = None,
 ) -> DataFrame:
     """Repeat the block step; options and result as in :func:`~adjrank.operators.matvec_iterate`.
 
@@ -66,7 +68,7 @@ def partitioned_matvec_iterate(
         return block_step(vector, layout, inner, first)
 
     vector = iterate(
-        start, lay_out, step, outer, threshold, max_iterations, by_ids=by == "position"
+        start, lay_out, step, outer, threshold, max_iterations, by_ids=by == "position", keep=keep
     )
     return finish(start, vector, output)
 

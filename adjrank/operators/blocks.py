@@ -47,10 +47,9 @@ def assign_blocks(
         raise ValueError(f"by must be one of {', '.join(BY)}")
     if by == "range":
         blocked = adj.withColumn("block_id", block_of(F.col("src"), block_size))
-    elif "segment" in adj.columns:
-        blocked = adj.join(_positions(adj.select("src").distinct(), block_size), "src")
     else:
-        blocked = _positions(adj, block_size)
+        # only the ids are put in order
+        blocked = adj.join(_positions(adj.select("src").distinct(), block_size), "src")
     return blocked.repartition("block_id") if co_locate else blocked
 
 
@@ -76,9 +75,10 @@ def classify_edges(edges: DataFrame, blocks: DataFrame, limits: Limits = DEFAULT
     ``blocks`` holds ``src`` and ``block_id`` of every vertex with a row. A
     destination without a row is external, whatever its id.
     """
-    members = blocks.select("src", "block_id")
-    if "segment" in blocks.columns:
-        members = members.distinct()
+    # a vertex may have several rows, but only one block
+    least, most = F.min("block_id"), F.max("block_id")
+    two = F.raise_error(F.concat(F.lit("two blocks for vertex "), F.col("src"))).cast("bigint")
+    members = blocks.groupBy("src").agg(F.when(least.eqNullSafe(most), least).otherwise(two).alias("block_id"))
     of_src = members.withColumnRenamed("block_id", "_from")
     of_dst = members.select(F.col("src").alias("dst"), F.col("block_id").alias("_to"))
     found = lookup(edges, "src", of_src, group_sizes(edges, "src", limits).heavy)

@@ -60,6 +60,28 @@ def _segments(edges: DataFrame, max_links: int) -> DataFrame:
     )
 
 
+def split_rows(adj: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Cut every list longer than ``limits.max_links`` into rows that differ in ``segment``.
+
+    For rows that come with one list per vertex, as readers deliver them; nothing is shuffled.
+    """
+    if "segment" in adj.columns:
+        raise ValueError("the rows are split already")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("dst"), F.lit(1)), F.lit(limits.max_links))
+    pieces = F.transform(starts, lambda at: F.slice("dst", at, F.lit(limits.max_links)))
+    others = [name for name in adj.columns if name not in ("src", "dst")]
+    return adj.select("src", F.posexplode(pieces).alias("segment", "dst"), *others).withColumn("segment", F.col("segment").cast("bigint"))
+
+
+def merge_segments(adj: DataFrame) -> DataFrame:
+    """One row per vertex again, its segments in order; for formats that have one line per vertex."""
+    if "segment" not in adj.columns:
+        return adj
+    others = [F.first(name).alias(name) for name in adj.columns if name not in ("src", "segment", "dst")]
+    parts = F.array_sort(F.collect_list(F.struct("segment", "dst")))
+    return adj.groupBy("src").agg(F.flatten(F.transform(parts, lambda x: x["dst"])).alias("dst"), *others)
+
+
 def transpose(adj: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """In-links: row ``v`` lists every ``u`` with a link to ``v``, once per link.
 
@@ -89,9 +111,13 @@ def ranked_from_decoded(
     """Ranked rows ``(src, segment, dst, rank, split)`` for every vertex of ``[0, n_vertices)``.
 
     Vertices without a link get an empty row; the rank is 1.0 and ``split`` the
-    contiguous vertex range the row belongs to.
+    contiguous vertex range the row belongs to. Edges that start outside of the
+    range are an error.
     """
-    linked = edges_to_adjacency(edges.where(F.col("src").between(0, n_vertices - 1)), limits)
+    outside = edges.agg(F.count_if(~F.col("src").between(0, n_vertices - 1))).first()[0]
+    if outside:
+        raise ValueError(f"{outside} edges start outside of the {n_vertices} vertices")
+    linked = edges_to_adjacency(edges, limits)
     unlinked = (
         edges.sparkSession.range(n_vertices)
         .select(F.col("id").alias("src"))

@@ -34,15 +34,17 @@ def start_vector(ranked: DataFrame, limits: Limits) -> StartVector:
     )
     if "segment" in row:
         rows = rows.groupBy("id").agg(
-            F.max("rank").alias("rank"), F.sum("deg").alias("deg"), F.max("copies").alias("copies")
+            F.max("rank").alias("rank"), F.sum("deg").alias("deg"), F.max("copies").alias("copies"), F.count("*").alias("rows")
         )
+    else:
+        rows = rows.withColumn("rows", F.lit(1))
     vector = cut(rows)
-    vertices, links, largest, repeated = vector.agg(
-        F.count("*"), F.sum("deg"), F.max("deg"), F.count_if(F.col("copies") > 1)
+    vertices, links, largest, repeated, most = vector.agg(
+        F.count("*"), F.sum("deg"), F.max("deg"), F.count_if(F.col("copies") > 1), F.max("rows")
     ).first()
     if repeated:
         raise ValueError(f"{repeated} vertices have several rows; number them in a column 'segment'")
-    return StartVector(ranked, vector.drop("copies"), vertices, links or 0, largest or 0, limits)
+    return StartVector(ranked, vector.drop("copies", "rows"), vertices, links or 0, largest or 0, (most or 0) > 1, limits)
 
 
 @dataclass(frozen=True)
@@ -54,8 +56,14 @@ class StartVector:
     vertices: int
     links: int
     largest: int
+    split_up: bool
     limits: Limits
 
+    @property
+    def partitions(self) -> int:
+        """Partitions of the loop: the session's number, more if a task would get too many links."""
+        return max(shuffle_partitions(self.ranked.sparkSession), -(-self.links // self.limits.task_links))
+
     @property
     def rows(self) -> DataFrame:
         """Rows without their rank."""
@@ -63,6 +71,7 @@ class StartVector:
 
     @property
     def segmented(self) -> bool:
+        """Whether rows have the column; ``split_up`` tells whether any vertex has several rows."""
         return "segment" in self.ranked.columns
 
     @property
@@ -95,7 +104,7 @@ class StartVector:
             light = light.join(F.broadcast(self.heavy_ids), "id", "left_anti")
         sums = light.groupBy(block(F.col("id")).alias("block")).agg(F.sum("deg").alias("links"))
         blocks, largest = sums.agg(F.count("*"), F.max("links")).first()
-        partitions = shuffle_partitions(light.sparkSession)
+        partitions = self.partitions
         enough = blocks >= BLOCKS_PER_PARTITION * partitions
         return enough and largest <= max(self.limits.max_links, self.links // partitions)
 
@@ -113,21 +122,24 @@ class StartVector:
         """
         rows = self.rows.where(F.size("dst") > 0)
         degrees = self.vector.select(F.col("id").alias("src"), "deg")
-        partitions = shuffle_partitions(rows.sparkSession)
+        partitions = self.partitions
 
         def ready(part: DataFrame, own: Callable) -> DataFrame:
             """Rows of some vertices with their degree; ``own`` selects these vertices' facts."""
-            if self.segmented:
+            if self.split_up:
                 part = part.join(own(degrees), "src")
             else:
                 part = part.withColumn("deg", F.size("dst").cast("bigint"))
             return derive(part, own).select("src", "deg", *columns)
 
         # Where ranks are broadcast, any even spread of the rows will do.
-        spread = ["src"] + ["segment"] * self.segmented
+        spread = ["src"] + ["segment"] * self.split_up
         if self.small:
             rows = rows.repartition(partitions, *spread)
-            return Layout(self, ready(rows, F.broadcast).persist(), None, None)
+            keys = self.vector.select(F.col("id").alias("src"))
+            # facts may cover ids without a row, of which there is no bound
+            held = ready(rows, lambda facts: F.broadcast(facts.join(F.broadcast(keys), "src", "left_semi")))
+            return Layout(self, held.persist(), None, None)
 
         rows, heavy = self.split(rows)
         if heavy is not None:
@@ -218,7 +230,7 @@ class Layout:
         """Bring a vector to the partitions of its blocks, if rows are placed so."""
         if self.block is None or "of" in vector.columns:
             return vector
-        partitions = shuffle_partitions(vector.sparkSession)
+        partitions = self.start.partitions
         return vector.withColumn("of", self.block(F.col("id"))).repartition(partitions, "of")
 
     def unpersist(self) -> None:

@@ -29,7 +29,13 @@ def global_index(df: DataFrame, order: list | None = None, unique: bool = True)
         # The copy number is taken from a checkpoint, so a retried task sees the same one.
         df = cut(df).withColumn("_copy", F.monotonically_increasing_id())
         order = [*order, F.asc("_copy")]
-    placed = cut(df.orderBy(*order)).withColumn("_row", F.monotonically_increasing_id())
+    return number_rows(df.orderBy(*order)).select(*columns, "pos")
+
+
+def number_rows(df: DataFrame) -> DataFrame:
+    """Add ``pos``, the row's place 0, 1, … in the order in which ``df`` delivers its rows."""
+    columns = df.columns
+    placed = cut(df).withColumn("_row", F.monotonically_increasing_id())
     partition = F.shiftright("_row", ROW_BITS)
     within = F.col("_row").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     # One row per partition, numbered by running sum.

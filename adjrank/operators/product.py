@@ -11,7 +11,7 @@ import logging
 from collections.abc import Callable
 from contextlib import nullcontext
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjrank.operators.compare import unconverged_count
@@ -20,10 +20,31 @@ from adjrank.session import DEFAULT_LIMITS, Limits, cut, static_plans
 
 log = logging.getLogger(__name__)
 
-MAX_ITERATIONS = 100
 OUTPUTS = ("rows", "vector")
 
 
+class NotSettled(RuntimeError):
+    """Ranks that still move after the most steps allowed; ``vector`` has those of the last one."""
+
+    def __init__(self, vector: DataFrame, steps: int, moving: int):
+        super().__init__(f"{moving} ranks still moving after {steps} steps")
+        self.vector, self.steps, self.moving = vector, steps, moving
+
+
+def step_path(keep: str, step: int) -> str:
+    return f"{keep.rstrip('/')}/step={step}"
+
+
+def kept_step(spark: SparkSession, keep: str, step: int) -> DataFrame:
+    """The vector ``(id, rank)`` after a step of a loop that had the folder ``keep``."""
+    return spark.read.parquet(step_path(keep, step))
+
+
+def resume_rows(ranked: DataFrame, vector: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Rows to go on from a vector: those of ``ranked`` with its ranks, and an empty one for its other ids."""
+    return start_vector(ranked, limits).attach_links(vector)
+
+
 def matvec(ranked: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """One step on ranked rows; see :func:`matvec_iterate`."""
     return matvec_iterate(ranked, iterations=1, limits=limits)
@@ -34,14 +55,18 @@ def matvec_iterate(
     iterations: int | None = None,
     threshold: float | None = None,
     output: str = "rows",
-    max_iterations: int = MAX_ITERATIONS,
+    max_iterations: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
+    keep: str | None = None,
 ) -> DataFrame:
     """Repeat the step a number of times, or until no rank moves by more than ``threshold``.
 
     With neither there is one step; with both, whichever comes first. Zero
-    iterations mean "not given". A threshold alone stops with an error after
-    ``max_iterations`` steps, as ranks on a periodic graph never settle.
+    iterations mean "not given". A threshold alone goes on until ranks settle,
+    which on a periodic graph they never do; with ``max_iterations`` it stops
+    there with :class:`NotSettled`, which has the last vector.
+
+    ``keep`` is a folder that gets every step's vector, see :func:`kept_step`.
 
     The result has every id with a row or an in-link. An id without in-links
     has rank 0.0, one without a row an empty list. ``output='vector'`` leaves
@@ -52,7 +77,7 @@ def matvec_iterate(
     """
     start = start_vector(ranked, limits)
     vector = iterate(
-        start, lambda _: start.lay_out(["dst"]), naive_step, iterations, threshold, max_iterations, opening=_opening
+        start, lambda _: start.lay_out(["dst"]), naive_step, iterations, threshold, max_iterations, opening=_opening, keep=keep
     )
     return finish(start, vector, output)
 
@@ -98,9 +123,10 @@ def iterate(
     step: Callable[[DataFrame, Layout, bool], DataFrame],
     iterations: int | None,
     threshold: float | None,
-    max_iterations: int,
+    max_iterations: int | None,
     opening: Callable[[StartVector], DataFrame] | None = None,
     by_ids: bool = False,
+    keep: str | None = None,
 ) -> DataFrame:
     """Run ``step(vector, layout, first)`` until done and return the last vector.
 
@@ -112,7 +138,7 @@ def iterate(
     iterations, threshold = loop_options(iterations, threshold)
     vector, layout, done = start.vector.select("id", "rank"), None, 0
     spark = vector.sparkSession
-    if start.segmented:
+    if start.split_up:
         opening = None
     try:
         while start.vertices:
@@ -121,19 +147,21 @@ def iterate(
             else:
                 layout = layout or lay_out(vector)
                 # Large vectors keep their partitioning from step to step.
-                with nullcontext() if start.small else static_plans(spark):
+                with nullcontext() if start.small else static_plans(spark, start.partitions):
                     new = cut(step(vector, layout, done == 0))
             done += 1
+            if keep is not None:
+                new.select("id", "rank").write.parquet(step_path(keep, done))
             moving = None
             if threshold is not None:
-                with nullcontext() if start.small else static_plans(spark):
+                with nullcontext() if start.small else static_plans(spark, start.partitions):
                     moving = unconverged_count(vector, new, threshold).first()[0]
                 log.info("step %d: %d ranks still moving", done, moving)
             vector = new
             if moving == 0 or done == iterations:
                 break
-            if iterations is None and done >= max_iterations:
-                raise RuntimeError(f"{moving} ranks still moving after {done} steps")
+            if iterations is None and max_iterations is not None and done >= max_iterations:
+                raise NotSettled(vector.select("id", "rank"), done, moving)
             if done == 1:
                 ids = vector.count()
                 if layout is not None and by_ids and ids > start.vertices:

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjrank.operators.convert import attach_rank, edges_to_adjacency
 from adjrank.operators.position import global_index
 from adjrank.operators.skew import group_sizes, split_heavy
-from adjrank.session import DEFAULT_LIMITS, Limits, cut
+from adjrank.session import DEFAULT_LIMITS, Limits, stored
 
 # Line numbers repeat within an order; the further columns settle the order of lines.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 
-# Suppliers are numbered from here on when they share a graph with parts.
-SUPPLIER_BASE = 1_000_000
+
+def part_id(key: Column) -> Column:
+    """Vertex of a part in a graph with parts and suppliers: the even numbers."""
+    return key * 2
+
+
+def supplier_id(key: Column) -> Column:
+    """Vertex of a supplier there: the odd numbers, so that no size of the tables lets the two meet."""
+    return key * 2 + 1
 
 
 def basket_edges(lineitem: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -46,18 +53,24 @@ def _next_by_position(lines: DataFrame) -> DataFrame:
 
 
 def basket_rows(lineitem: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """Basket graph as ranked rows, checkpointed because the operators read a graph twice."""
+    """Basket graph as ranked rows, stored because the operators read a graph twice."""
     return ranked_rows(basket_edges(lineitem, limits), limits)
 
 
 def ranked_rows(edges: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    return cut(attach_rank(edges_to_adjacency(cut(edges), limits)))
+    return stored(attach_rank(edges_to_adjacency(stored(edges, "edges"), limits)), "rows")
 
 
 def supply_edges(lineitem: DataFrame, both_ways: bool = False) -> DataFrame:
     """One edge per line from its part to its supplier, and back; repeated edges stay."""
-    part, supplier = F.col("l_partkey"), F.col("l_suppkey") + F.lit(SUPPLIER_BASE)
+    part, supplier = part_id(F.col("l_partkey")), supplier_id(F.col("l_suppkey"))
     there = F.struct(part.alias("src"), supplier.alias("dst"))
     back = F.struct(supplier.alias("src"), part.alias("dst"))
     edges = [there, back] if both_ways else [there]
     return lineitem.select(F.inline(F.array(*edges)))
+
+
+def mixed_edges(lineitem: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Basket edges and one edge per line to its supplier; suppliers have no row of their own."""
+    baskets = basket_edges(lineitem, limits).select(part_id(F.col("src")).alias("src"), part_id(F.col("dst")).alias("dst"))
+    return baskets.unionAll(supply_edges(lineitem))

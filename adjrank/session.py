@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -18,13 +19,15 @@ class Limits:
     max_links       most links in a row that an operator builds, and the size
                     from which a group may count as too large for one task
     broadcast_rows  most rows that are ever broadcast
+    task_links      links that one task of a loop works on, at most
     """
 
     max_links: int = 1 << 20
     broadcast_rows: int = 500_000
+    task_links: int = 1 << 24
 
     def __post_init__(self):
-        if self.max_links < 1 or self.broadcast_rows < 1:
+        if min(self.max_links, self.broadcast_rows, self.task_links) < 1:
             raise ValueError("limits must be at least 1")
 
     def heavy_above(self, total: int) -> int:
@@ -51,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="adjrank-")
     sc.setCheckpointDir(folder)
@@ -69,6 +72,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the checkpoint folder as Parquet and read again, so that readers get only their columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -81,15 +91,16 @@ STATIC = {
 
 
 @contextmanager
-def static_plans(spark: SparkSession):
+def static_plans(spark: SparkSession, partitions: int | None = None):
     """Plan with the partitioning the data has, inside the block.
 
     A checkpoint of an adaptive plan forgets how its rows are partitioned. In
     a loop that costs one more shuffle per step, and the loops here are
     balanced by construction, so there is nothing for AQE to repair.
     """
-    before = {key: spark.conf.get(key) for key in STATIC}
-    for key, value in STATIC.items():
+    settings = STATIC | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         yield

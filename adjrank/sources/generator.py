@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from adjrank.functions.blocks import block_of
 from adjrank.functions.draws import with_distinct_draws, with_mixed, with_streams
 
+# Published defaults: part of a vertex's links that leave its block, and vertices in a block.
+BORDER_RATIO = 0.1
+BLOCK_SIZE = 65536
+
 
 def generate_blocked_graph(
     spark: SparkSession,
     n: int,
     degree: int,
-    border_ratio: float,
-    block_size: int,
+    border_ratio: float = BORDER_RATIO,
+    block_size: int = BLOCK_SIZE,
     seed: int = 0,
 ) -> DataFrame:
     """Ranked rows of a random graph on the vertices ``0 .. n-1``.
@@ -46,8 +50,8 @@ def generate_blocked_graph(
     df = with_mixed(df, "k", F.col("of_degree")).withColumn("k", k % (2 * degree))
     # Single precision: the ratio is a float wherever this graph is defined.
     df = df.withColumn("border", F.floor(F.lit(border_ratio).cast("float") * k.cast("float")))
-    df = with_distinct_draws(df, "near", F.col("of_near"), k - border, members - 1, block_size)
-    df = with_distinct_draws(df, "far", F.col("of_far"), border, F.lit(n) - members, n)
+    df = with_distinct_draws(df, "near", src, F.col("of_near"), k - border, members - 1)
+    df = with_distinct_draws(df, "far", src, F.col("of_far"), border, F.lit(n) - members)
 
     # The picks skip the vertex itself, and its block.
     near = F.transform("near", lambda p: F.when(start + p < src, start + p).otherwise(start + p + 1))

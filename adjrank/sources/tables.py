@@ -23,8 +23,10 @@ def save_graph(graph: DataFrame, path: str, mode: str = "error") -> None:
     graph.select(*[graph[name].cast(TYPES[name]) for name in present]).write.mode(mode).parquet(path)
 
 
-def load_graph(spark: SparkSession, path: str, ranked: bool = True, segmented: bool = False) -> DataFrame:
-    """Read a graph written by :func:`save_graph` without schema inference."""
-    wanted = ["src"] + ["segment"] * segmented + ["dst"] + ["rank"] * ranked
-    schema = T.StructType([T.StructField(name, TYPES[name]) for name in wanted])
-    return spark.read.schema(schema).parquet(path)
+def load_graph(spark: SparkSession, path: str, ranked: bool = True) -> DataFrame:
+    """Read a graph written by :func:`save_graph`, with the columns that were stored.
+
+    ``ranked=False`` leaves a stored rank out.
+    """
+    graph = spark.read.parquet(path)
+    return graph.select(*[name for name in TYPES if name in graph.columns and (ranked or name != "rank")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjrank.functions.parse import adjacency_line, parse_lines
+from adjrank.operators.convert import merge_segments
 
 MODES = ("DROPMALFORMED", "FAILFAST", "PERMISSIVE")
 
@@ -63,12 +64,14 @@ def read_rank_vector(spark: SparkSession, path) -> DataFrame:
 
 
 def write_adjacency(adj: DataFrame, path: str, mode: str = "error") -> None:
-    """One line ``src n d1 ... dn`` per row."""
+    """One line ``src n d1 ... dn`` per vertex; segments are put together."""
+    adj = merge_segments(adj)
     adj.select(adjacency_line(F.col("src"), F.col("dst")).alias("value")).write.mode(mode).text(path)
 
 
 def write_ranked_adjacency(ranked: DataFrame, path: str, mode: str = "error") -> None:
-    """One line ``src n d1 ... dn rank`` per row."""
+    """One line ``src n d1 ... dn rank`` per vertex; segments are put together."""
+    ranked = merge_segments(ranked)
     line = adjacency_line(F.col("src"), F.col("dst"), F.col("rank"))
     ranked.select(line.alias("value")).write.mode(mode).text(path)
 

@@ -7,13 +7,12 @@ that a mistake there cannot repeat itself here.
 from __future__ import annotations
 
 BLOCK = 256
-SUPPLIER_BASE = 1_000_000
-WIDE_BLOCK = 4 * SUPPLIER_BASE
+NARROW_BLOCK, WIDE_BLOCK = 8, 512
 TIGHT_LINKS = 100
 SPLITS = 7
 TOP = 25
 MOVED = 0.1
-UNTIL_STEPS, UNTIL_THRESHOLD = 8, 0.02
+UNTIL_STEPS, UNTIL_THRESHOLD, BLOCKED_THRESHOLD = 8, 0.02, 0.05
 DEGREE, RATIO, GENERATED_BLOCK, SEED = 5, 0.3, 128, 42
 
 BASKET = """
@@ -23,9 +22,10 @@ BASKET = """
       order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) as dst
     from lineitem)
   where dst is not null and src <> dst"""
-TO_SUPPLIER = f"select l_partkey as src, l_suppkey + {SUPPLIER_BASE} as dst from lineitem"
-BOTH_WAYS = f"{TO_SUPPLIER} union all select l_suppkey + {SUPPLIER_BASE}, l_partkey from lineitem"
-GAPPY = f"select * from ({BASKET}) where src in (select p_partkey from part where p_size > 25)"
+# Parts are the even vertices and suppliers the odd ones.
+TO_SUPPLIER = "select l_partkey * 2 as src, l_suppkey * 2 + 1 as dst from lineitem"
+BOTH_WAYS = f"{TO_SUPPLIER} union all select l_suppkey * 2 + 1, l_partkey * 2 from lineitem"
+GAPPY = f"select src * 2 as src, dst * 2 as dst from ({BASKET}) union all {TO_SUPPLIER}"
 
 LISTS = f"""with e as ({BASKET}),
 o as (select src, dst, row_number() over (partition by src order by dst) as rn, count(*) over (partition by src) as n from e)
@@ -121,7 +121,8 @@ def picked(name: str, begin: str, wanted: str, choices: str) -> str:
     some = f"(select src, {begin} as begin, least({wanted}, {choices}) as m, {choices} as c from k)"
     each = f"(select *, unnest(range(0, m)) as i from {some} where m > 0)"
     return f"""
-{name}_draws as (select src, i, m, c - m + i as last, h % (c - m + i + 1) as value
+{name}_draws as (select src, i, m, c - m + i as last, 
+    (h * {PRIME} + (h * {ROUNDS[0][1]} + src % {PRIME} * {ROUNDS[1][1]} + begin) % {PRIME}) % (c - m + i + 1) as value
   from {mixed(each, f"begin + (i + 1) * {STRIDE}", "h")}),
 {name}_picks as (
   select src, m, 0 as i, []::bigint[] as picks from {some} where m > 0
@@ -160,23 +161,22 @@ def ranges(n: str, splits: str) -> str:
     return f"select id, ntile({splits}) over (order by id) - 1 as split from (select unnest(range(0, ({n}))) as id)"
 
 
-def until() -> str:
-    """The first step where no rank moves by more than the threshold, or the last."""
-    sql = naive(BASKET, UNTIL_STEPS)
+def until(sql: str, threshold: float) -> str:
+    """The first step where no rank moves by more than the threshold."""
     moves = " union all ".join(
-        f"select {s} as step, count(*) filter (abs(n.r - o.r) > {UNTIL_THRESHOLD}) as moving "
+        f"select {s} as step, count(*) filter (abs(n.r - o.r) > {threshold}) as moving "
         f"from r{s} n join r{s - 1} o on o.id = n.id"
         for s in range(1, UNTIL_STEPS + 1)
     )
     steps = " union all ".join(f"select {s} as step, id, r from r{s}" for s in range(1, UNTIL_STEPS + 1))
     return f"""{sql},
-settled as (select coalesce(min(step) filter (moving = 0), {UNTIL_STEPS}) as step from ({moves}))
+settled as (select min(step) filter (moving = 0) as step from ({moves}))
 select id, round(r, 9) as rank from ({steps}) where step = (select step from settled)"""
 
 
 def two_vectors() -> str:
     """Differences of ranks on two graphs; suppliers are in the second only."""
-    return f"""with a as ({vector(naive(BASKET, 1), 1).replace("round(r, 9)", "r")}),
+    return f"""with a as (select id * 2 as id, rank from ({vector(naive(BASKET, 1), 1).replace("round(r, 9)", "r")})),
 b as ({vector(naive(BOTH_WAYS, 2), 2).replace("round(r, 9)", "r")}),
 delta as (select id, coalesce(abs(a.rank - b.rank), a.rank, b.rank) as delta from a full outer join b using (id))"""
 
@@ -198,7 +198,10 @@ select src, case src % 4 when 1 then n - 1 else n end as n_links,
   string_agg(dst::varchar, ' ' order by rn) filter (src % 4 <> 1 or rn < n) as links
 from o where src % 4 <> 3 group by src, n""",
         "read_rank_vector": f"select src as id, count(*) / 4.0::double as rank from ({BASKET}) where src % 5 <> 3 group by src",
-        "graph_roundtrip": listed(BASKET, ", count(*) / 4.0::double as rank"),
+        "graph_roundtrip": listed(BASKET, ", 0::bigint as segment, count(*) / 4.0::double as rank"),
+        "graph_roundtrip_segments": vector(naive(BOTH_WAYS, 1), 1),
+        "text_roundtrip_segments": vector(naive(BOTH_WAYS, 1), 1),
+        "split_rows": segments(BOTH_WAYS, TIGHT_LINKS),
         "format_ranked_adjacency": f"""select concat_ws(' ', src, n_links, links, rank) as line
 from ({listed(BASKET, ", count(*) / 4.0::double as rank")})""",
         "format_adjacency": f"select concat_ws(' ', src, n_links, links) as line from ({listed(BASKET)})",
@@ -206,9 +209,9 @@ from ({listed(BASKET, ", count(*) / 4.0::double as rank")})""",
         "write_rank_vector": vector(basket_1, 1),
         "write_pairs": f"select a || chr(9) || b as line from ({pairs(basket_1, 1)})",
         "generate_blocked_graph": generated(),
-        "ranked_from_decoded": f"""with e as ({GAPPY}),
+        "ranked_from_decoded": f"""with e as ({TO_SUPPLIER}),
 a as ({listed("select * from e")}),
-i as ({ranges("select count(*) from part", str(SPLITS))})
+i as ({ranges("select 2 * count(*) from part", str(SPLITS))})
 select id as src, coalesce(n_links, 0) as n_links, coalesce(links, '') as links,
   0::bigint as segment, 1.0::double as rank, split
 from i left join a on a.src = i.id""",
@@ -219,8 +222,9 @@ from i left join a on a.src = i.id""",
         "transpose_segments": segments(f"select dst as src, src as dst from ({TO_SUPPLIER})", TIGHT_LINKS),
         "out_degree": f"select src, count(*) as degree from ({BOTH_WAYS}) group by src",
         "rank_vector": f"select src as id, count(*) / 4.0::double as rank from ({BASKET}) group by src",
-        "vertex_ranges": f"""select split, min(id) as first, max(id) as last
-from ({ranges("select count(*) from orders", "(select count(*)::int from supplier)")}) group by split""",
+        "vertex_ranges": f"""select split, min(id) as first, max(id) as last, sum(coalesce(n, 0))::bigint as lines
+from ({ranges("select count(*) from part", "(select count(*)::int from supplier)")})
+left join (select l_partkey as id, count(*) as n from lineitem group by 1) using (id) group by split""",
         "range_of": f"""select coalesce(split, -1) as split, count(*) as lines
 from lineitem left join ({ranges("select count(*) // 2 from part", str(SPLITS))}) on id = l_partkey
 group by coalesce(split, -1)""",
@@ -235,25 +239,30 @@ from (select distinct src from ({GAPPY}))""",
 a as ({listed("select * from e")})
 select id as src, coalesce(n_links, 0) as n_links, coalesce(links, '') as links, round(r, 9) as rank
 from r1 left join a on a.src = r1.id""",
+        "matvec_resumed": vector(naive(BASKET, 3), 3),
         "matvec_dangling": vector(naive(f"select distinct * from ({TO_SUPPLIER})", 1), 1),
         "matvec_multilink": vector(naive(BOTH_WAYS, 2), 2),
         "matvec_heavy": vector(naive(BOTH_WAYS, 2), 2),
-        "matvec_until": until(),
+        "matvec_until": until(naive(BASKET, UNTIL_STEPS), UNTIL_THRESHOLD),
         "unconverged_count": f"""{basket_1}
 select count(*) filter (abs(n.r - coalesce(o.r, 0)) > {MOVED}) as unconverged
 from r1 n left join r0 o on o.id = n.id""",
         "partitioned_matvec_dangling": vector(blocked(TO_SUPPLIER, 1, WIDE_BLOCK, 2), 1),
         "partitioned_matvec_position": vector(blocked(GAPPY, 2, BLOCK, 2, "position"), 2),
         "partitioned_matvec_gappy": vector(blocked(GAPPY, 2, BLOCK, 2), 2),
+        "partitioned_matvec_position_shuffled": vector(blocked(GAPPY, 2, BLOCK, 2, "position"), 2),
+        "partitioned_matvec_co_located": vector(blocked(BASKET, 2, NARROW_BLOCK, 2), 2),
+        "partitioned_matvec_co_located_heavy": vector(blocked(BOTH_WAYS, 2, NARROW_BLOCK, 2), 2),
+        "partitioned_matvec_until": until(blocked(BASKET, UNTIL_STEPS, BLOCK, 1), BLOCKED_THRESHOLD),
         "rank_deltas": f"{two_vectors()} select id, round(delta, 9) as delta from delta",
         "max_rank_difference": f"{two_vectors()} select round(max(delta), 9) as max_delta from delta",
-        "sort_by_rank": vector(basket_1, 1),
-        "top_k_by_rank": f"{placed(basket_1, 1)} select id, rank from z where pos < {TOP}",
+        "sort_by_rank": f"{placed(basket_1, 1)} select id, rank, pos from z",
+        "top_k_by_rank": f"{placed(basket_1, 1)} select id, rank, pos from z where pos < {TOP}",
         "rank_position": f"{placed(basket_1, 1)} select id, rank, pos from z",
         "pair_adjacent": pairs(basket_1, 1),
-        "naive_nsd": vector(naive(BASKET, 3), 3),
-        "partitioned_nsd": vector(blocked(BASKET, 2, BLOCK, 1), 2),
-        "inner_outer_nsd": vector(blocked(BASKET, 2, BLOCK, 2), 2),
+        "naive_nsd": f"{placed(naive(BASKET, 3), 3)} select id, rank, pos from z",
+        "partitioned_nsd": f"{placed(blocked(BASKET, 2, BLOCK, 1), 2)} select id, rank, pos from z",
+        "inner_outer_nsd": f"{placed(blocked(BASKET, 2, BLOCK, 2), 2)} select id, rank, pos from z",
         "self_match": pairs(naive(BASKET, 3), 3),
         "self_match_blocked": pairs(blocked(BASKET, 2, BLOCK, 2), 2),
         "matvec_1": vector(basket_1, 1),

@@ -28,4 +28,4 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["id", "rank"] and df.count() == 200
+    assert df.columns == ["id", "rank", "pos"] and df.count() == 200
