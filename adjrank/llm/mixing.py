@@ -53,13 +53,13 @@ def running(df: DataFrame, group: str, place: str, order: list, value: str, larg
     if largest < CHUNK:
         window = Window.partitionBy(group).orderBy(place, *order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0).cast("long")))
-    chunk = F.shiftright(place, CHUNK.bit_length() - 1)
-    sums = df.groupBy(group, chunk.alias("_chunk")).agg(F.sum(value).alias("_sum"))
-    sums = running(sums, group, "_chunk", [], "_sum", largest >> (CHUNK.bit_length() - 1), "_base")
-    window = Window.partitionBy(group, "_chunk").orderBy(place, *order).rowsBetween(Window.unboundedPreceding, -1)
-    own = df.withColumn("_chunk", chunk).withColumn("_own", F.coalesce(F.sum(value).over(window), F.lit(0).cast("long")))
-    out = own.join(sums.select(group, "_chunk", "_base"), [group, "_chunk"])
-    return out.withColumn(name, F.col("_own") + F.col("_base")).drop("_chunk", "_own", "_base")
+    bits, chunk, own = CHUNK.bit_length() - 1, f"{place}_chunk", f"{name}_own"
+    placed = df.withColumn(chunk, F.shiftright(place, bits))
+    sums = placed.groupBy(group, chunk).agg(F.sum(value).alias("sum"))
+    sums = running(sums, group, chunk, [], "sum", largest >> bits, f"{name}_base").select(group, chunk, f"{name}_base")
+    window = Window.partitionBy(group, chunk).orderBy(place, *order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn(own, F.coalesce(F.sum(value).over(window), F.lit(0).cast("long"))).join(sums, [group, chunk])
+    return out.withColumn(name, F.col(own) + F.col(f"{name}_base")).drop(chunk, own, f"{name}_base")
 
 
 def sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
