@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjrank.llm import bpe, hmm, mixing, ngram_join, packing, quality, spotsigs, toxicity, url_rules, warc
+from adjrank.llm import bpe, hmm, mixing, ngram_join, packing, quality, spotsigs, sql, toxicity, url_rules, warc
 from adjrank.session import scratch_path
 
 #: Fixed by the contract.
@@ -88,4 +88,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return sql.statements()
