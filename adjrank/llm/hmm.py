@@ -127,11 +127,28 @@ class Vocabulary:
         return math.log10(self.tokens + 0.5 * (self.words + 1))
 
 
+def most_frequent(words: DataFrame, most: int) -> list:
+    """The rows of the most frequent words, the first most so: as many whole levels of frequency as have ``most`` words at most.
+
+    A level is a count up to 4095 and a range of counts beyond, so there are some ten thousand.
+    """
+    level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log(F.col("n") / 4096) * 200)).cast("long")
+    levels = words.groupBy(level.alias("level")).count().collect()
+    held, least = 0, None
+    for row in sorted(levels, key=lambda r: -r["level"]):
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    rows = words.where(level >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["n"], r["word"]))
+
+
 def vocabulary(counts: DataFrame, settings: Settings) -> tuple[Vocabulary, int]:
     """The vocabulary, and the count of the end token."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("class") < 0, F.col("n"))).alias("end")).first()
     words = counts.where("class >= 0")
-    top = words.orderBy(F.desc("n"), "word").limit(settings.known).collect()
+    top = most_frequent(words, settings.known)
     by_class = words.groupBy("class").agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).collect()
     return Vocabulary(top, total["n"] or 0, total["v"], by_class, settings), total["end"] or 0
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,50 +34,82 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from adjrank.llm.words import blocks, byte_weights
+from adjrank.llm.words import Block, blocks, byte_weights
 from adjrank.session import scratch_path
 
 SIZE = 4096
 #: Token ids that a task keeps for the words it has met; beyond that it begins anew.
-KEPT = 8_000_000
-#: Parts of a run that are numbered by themselves.
-PARTS = 256
+KEPT = 4_000_000
+PUNCTUATION, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+PUNCTUATION[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
+ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+#: A run is numbered in parts, of which there is one for so many pieces, and so many at most.
+PART_PIECES, PARTS = 200_000, 256
 
 
 class WordIds:
     """Token ids of texts, put together from those of their words.
 
-    Only for tokenizers that drop white space: then no token reaches across it.
+    Only for tokenizers that drop white space and case and split letters from
+    punctuation: then no token reaches across white space, nor from a letter
+    to the ASCII punctuation that ends its word, and words that differ in the
+    case of A-Z have the same ids. Special strings are the exception, so
+    blocks that have one, in any case, are taken word by word as they are.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.weights = byte_weights(False)
+        self.model = self.tokenizer.model
+        self.special = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folded, self.plain = byte_weights(True), byte_weights(False)
         self.clear()
 
     def clear(self):
         self.place: dict[int, int] = {}
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        out: list = [[x.id for x in self.model.tokenize(w.lower())] if w.isascii() and w.isalpha() else None for w in words]
+        others = [i for i, x in enumerate(out) if x is None]
+        found = self.tokenizer.encode_batch_fast([words[i] for i in others], add_special_tokens=False)
+        for i, x in zip(others, found, strict=True):
+            out[i] = x.ids
+        return out
+
     def learn(self, hashes: list[int], words: list[str]):
-        if len(self.ids) > KEPT:
-            raise OverflowError
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = self.encode(words)
         sizes = np.array([len(x) for x in found], np.int64)
         before = len(self.ids) + np.cumsum(sizes) - sizes
         self.place.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
         self.starts, self.sizes = np.concatenate([self.starts, before]), np.concatenate([self.sizes, sizes])
 
+    def units(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins and ends of what is looked up, and their hashes."""
+        begins, ends = block.words()
+        lowered = block.data.tobytes().lower()
+        if any(x in lowered for x in self.special):
+            return begins, ends, block.hashes(begins, ends, self.plain)
+        if len(begins):
+            data, at = block.data, np.arange(len(block.data))
+            mark = PUNCTUATION[data]
+            tail = np.maximum(np.maximum.accumulate(np.where(mark, -1, at))[ends - 1] + 1, begins)
+            # a letter before the marks: ASCII, or of the two bytes C3 80 to C3 BF but for the signs × and ÷
+            last, second = data[np.maximum(tail - 1, 0)], data[np.maximum(tail - 2, 0)]
+            letter = ALNUM[last] | ((second == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (tail - 2 >= begins))
+            cut = (tail < ends) & (tail > begins) & letter
+            # cores and tails in the order of the text
+            where = np.argsort(np.concatenate([begins, tail[cut]]), kind="stable")
+            begins, ends = np.concatenate([begins, tail[cut]])[where], np.concatenate([np.where(cut, tail, ends), ends[cut]])[where]
+        return begins, ends, block.hashes(begins, ends, self.folded)
+
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for block in blocks(column):
             if len(self.ids) > KEPT:
                 self.clear()
-            begins, ends = block.words()
-            distinct, first, which = np.unique(
-                block.hashes(begins, ends, self.weights), return_index=True, return_inverse=True
-            )
+            begins, ends, hashes = self.units(block)
+            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             names = distinct.tolist()
             new = [i for i, h in enumerate(names) if h not in self.place]
             if new:
@@ -174,10 +207,11 @@ def sweep(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, i
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """Pieces (with ``length`` from 1 to ``size``) with their ``sequence_id`` and ``offset``.
 
-    The result reads ``pieces`` twice; store them if they are costly.
+    The result reads ``pieces`` three times; store them if they are costly.
     """
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64(*pieces.columns), F.lit(PARTS)).cast("int")
+    parts = min(PARTS, max(1, -(-pieces.count() // PART_PIECES)))
+    part = F.pmod(F.xxhash64(*pieces.columns), F.lit(parts)).cast("int")
     split = pieces.withColumn("_part", part)
     sums = split.groupBy("length", "_part").count().collect()  # no more than size * PARTS rows
     runs: dict[int, int] = {}
