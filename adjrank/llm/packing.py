@@ -7,7 +7,7 @@ every run of pieces finds the smallest gap that holds it (its successor in the
 sorted gaps). Where several runs want the same gaps, ranks decide: longer
 pieces first, each run taking as many gaps as it has pieces. Gaps shrink, and
 the next round begins with the pieces that are left; when none fits, the
-longest ones open new sequences, as many of them as have pieces.
+longest ones open new sequences, as many as they need among themselves.
 
 A run's pieces differ in nothing that matters here, so the rounds need only
 the runs, of which there are no more than ``size`` however many documents
@@ -194,13 +194,12 @@ def sweep(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int, i
             else:
                 continue
             break
-        # the longest run that found no gap opens sequences of its own
+        # the longest run that found no gap opens sequences, as few as can hold it; its other pieces find their gaps
         length = max((x for x, n in left.items() if n), default=0)
         if length:
-            n = left[length]
+            n = -(-left[length] // (size // length))
             place(length, opened, n, size)
             opened += n
-            # its sequences may take more of the same length, which shorter pieces must not be kept from
     return out
 
 
