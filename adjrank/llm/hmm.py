@@ -43,6 +43,7 @@ from adjrank.session import scratch_path
 FOLDS, HELD_OUT = 5, 1
 #: The hash of the end token, which no word has but by chance.
 END = 0x5EED
+DRAWS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -284,7 +285,9 @@ def train(encoded: DataFrame, symbols: int, settings: Settings) -> Model:
     """Baum-Welch: first on the sample, then ``iterations`` times over all training texts."""
     spark, states = encoded.sparkSession, settings.states
     learning = encoded.where("not held_out")
-    some = learning.orderBy(F.xxhash64("key", "n_tokens"), "key").limit(settings.sample).select("symbols").collect()
+    draw = F.pmod(F.xxhash64("key", "n_tokens"), F.lit(DRAWS))
+    share = min(1.0, 2 * settings.sample / max(1, learning.count()))  # so few rows are ever sorted for the sample
+    some = learning.where(draw < int(share * DRAWS)).orderBy(draw, "key").limit(settings.sample).select("symbols").collect()
     size = states + states * states + symbols * states
     texts = sorted((np.frombuffer(x["symbols"], np.uint16).astype(np.int64) for x in some), key=len, reverse=True)
     seen = np.bincount(np.concatenate(texts), minlength=symbols) if texts else np.zeros(symbols)

@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from adjrank.llm.words import Block, blocks, byte_weights, mix
 
 FOLDS, HELD_OUT = 5, 0
+DRAWS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -318,10 +319,16 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, settings: Se
     """The bounded sample of labelled texts to learn from."""
     marks = labels.select(F.col(key).alias("key"), F.col("toxic").alias("toxic")).where("toxic is not null")
     marks = marks.where(~held_out(F.col("key"))).groupBy("key").agg(F.max("toxic").alias("toxic"))
-    # equal numbers in equal order whatever the partitions are
-    order = [F.xxhash64("key"), F.col("key")]
-    chosen = marks.where("toxic = 1").orderBy(*order).limit(settings.positives)
-    chosen = chosen.unionByName(marks.where("toxic = 0").orderBy(*order).limit(settings.negatives))
+    draw = F.pmod(F.xxhash64("key"), F.lit(DRAWS))
+    sizes = {r["toxic"]: r["count"] for r in marks.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
+
+    def some(label: int, most: int) -> DataFrame:
+        """The first rows of a class by their draw; a cut-off first, so that few are ever sorted."""
+        share = min(1.0, (2 * most + 100) / max(1, sizes.get(label, 0)))
+        rows = marks.where((F.col("toxic") == label) & (draw < int(share * DRAWS)))
+        return rows.orderBy(draw, "key").limit(most)
+
+    chosen = some(1, settings.positives).unionByName(some(0, settings.negatives))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = rows.join(F.broadcast(chosen), "key").orderBy("key", "text").limit(2 * (settings.positives + settings.negatives)).collect()
     return [r["text"] for r in found], np.array([r["toxic"] for r in found], np.float32)
