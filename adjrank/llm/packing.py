@@ -39,7 +39,9 @@ from adjrank.session import scratch_path
 
 SIZE = 4096
 #: Token ids that a task keeps for the words it has met; beyond that it begins anew.
-KEPT = 4_000_000
+KEPT = 2_500_000
+#: Bytes of text that are worked on at once; arrays of eight times that size are made.
+BLOCK_BYTES = 1 << 19
 PUNCTUATION, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
 PUNCTUATION[list(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")] = True
 ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
@@ -105,7 +107,7 @@ class WordIds:
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        for block in blocks(column):
+        for block in blocks(column, BLOCK_BYTES):
             if len(self.ids) > KEPT:
                 self.clear()
             begins, ends, hashes = self.units(block)
