@@ -22,6 +22,7 @@ result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from adjrank.llm.words import Block, blocks, byte_weights
+from adjrank.llm.words import Block, blocks, byte_weights, per_worker
 from adjrank.session import scratch_path
 
 SIZE = 4096
-#: Token ids that a task keeps for the words it has met; beyond that it begins anew.
-KEPT = 2_500_000
+#: Token ids that a worker keeps for the words it has met; beyond that it begins anew.
+KEPT = 1_500_000
 #: Bytes of text that are worked on at once; arrays of eight times that size are made.
 BLOCK_BYTES = 1 << 19
 PUNCTUATION, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
@@ -138,7 +139,8 @@ def tokenized(docs: DataFrame, path: str, end: int, size: int = SIZE, key: str =
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
+        words = per_worker(f"word ids of {path}", lambda: WordIds(path))
         for batch in batches:
             row, out = [], []
             for i, ids in enumerate(words.texts(batch.column(1))):

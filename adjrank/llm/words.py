@@ -7,7 +7,9 @@ and, unless asked otherwise, equal for words that differ in the case of A-Z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,17 @@ def byte_weights(fold: bool) -> np.ndarray:
     return weights
 
 
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """What a worker process makes once and keeps from task to task.
+
+    Functions that are shipped by value have no module of their own to keep it in.
+    """
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 class Powers:
     """Powers of STEP and of its inverse, modulo 2**64, as far as they were asked for."""
 
