@@ -47,6 +47,8 @@ COLUMN = 2000
 #: Pseudorandom centres of a column that its classes are held against after the first.
 CENTRES = 6
 PAIR_BYTES = 4 << 20
+#: Up to so many classes (two numbers each) are broadcast to pick their texts; for more, the texts are shuffled.
+FEW = 500_000
 
 
 @dataclass(frozen=True)
@@ -200,7 +202,9 @@ def _texts(docs: DataFrame, key: str, text: str, like: Likeness, wanted: DataFra
 def _checked(docs, key, text, like, classes, pairs) -> DataFrame:
     """The candidate pairs that link, by their texts."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "label")
+    wanted = cut(classes.join(nodes, "node", "left_semi").select("node", "label"))
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
     held = stored(_texts(docs, key, text, like, wanted), "texts")
     both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
@@ -226,10 +230,12 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     stars = _stars(entries)
     links = _checked(docs, key, text, like, classes, stars)
     # again with other central classes, for those that are not like the first ones
-    again = _other_stars(_unjoined(entries, connected_components(links), like))
+    unjoined = _unjoined(entries, connected_components(links), like)
+    again = _other_stars(unjoined)
     if not again.isEmpty():
         links = cut(links.unionByName(_checked(docs, key, text, like, classes, again)))
-    pairs = cut(_product(_unjoined(entries, connected_components(links), like), like))
+    # what has fallen away stays away when more is joined
+    pairs = cut(_product(_unjoined(unjoined.drop("component"), connected_components(links), like), like))
     if not pairs.isEmpty():
         links = links.unionByName(_checked(docs, key, text, like, classes, pairs))
     return rows.select("key", "node", "n"), links
