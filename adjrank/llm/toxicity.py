@@ -49,8 +49,9 @@ class Settings:
     hidden                length of a state in each direction
     trigrams              rows of the table of trigram vectors
     rare                  a word in fewer texts of the sample has no vector of its own
-    updates, rate         steps of training, in whole passes over the sample, and their size
-    every, looked         all windows are scored in every so many rounds, and so many of each text between
+    passes                rounds of training over the whole sample, whatever its size
+    updates, rate         steps of training at least, so that small samples get more rounds, and their size
+    every, looked         all windows are scored in every so many rounds and the last two, and so many of each text between
     """
 
     positives: int = 600
@@ -61,9 +62,10 @@ class Settings:
     hidden: int = 8
     trigrams: int = 4096
     rare: int = 3
-    updates: int = 200
+    passes: int = 12
+    updates: int = 320
     rate: float = 0.02
-    every: int = 4
+    every: int = 2
     looked: int = 6
     seed: int = 7
 
@@ -271,8 +273,9 @@ def log_odds(batches: list[tuple[Words, np.ndarray]], rare: int, prior: float =
 def fit(texts: list[str], labels: np.ndarray, settings: Settings) -> Network:
     """Train on the highest window of each text, chosen anew in every round, with Adam.
 
-    Every batch has an empty text that isn't toxic. Tables of vectors have one
-    step size for all rows, so that rare rows move little.
+    There are ``passes`` rounds, more only where a small sample needs them for
+    ``updates`` steps. Every batch has an empty text that isn't toxic. Tables of
+    vectors have one step size for all rows, so that rare rows move little.
     """
     weights, rng = byte_weights(True), np.random.default_rng(settings.seed)
     batches = []
@@ -283,16 +286,18 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings) -> Network:
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     updates = 0
     some: dict[int, tuple] = {}  # by batch, the windows that scored highest when all were last looked at
-    for turn in range(-(-settings.updates // len(batches))):
+    turns = max(settings.passes, -(-settings.updates // len(batches)))
+    for turn in range(turns):
+        whole = turn % settings.every == 0 or turn >= turns - 2
         for i, (words, y) in enumerate(batches):
             if not len(words.hashes):
                 continue
-            logit, row, first, size = net.logits(words, some.get(i) if turn % settings.every else None)
+            logit, row, first, size = net.logits(words, None if whole else some.get(i))
             order = np.lexsort((logit, row))
             last = np.append(row[order][1:] != row[order][:-1], True)
             place = np.flatnonzero(last)[np.cumsum(last) - last] - np.arange(len(order))  # 0: the text's highest
             best = order[place == 0]
-            if turn % settings.every == 0:
+            if whole:
                 some[i] = tuple(x[order[place < settings.looked]] for x in (row, first, size))
             # no other window of a text that isn't toxic is, either
             clean = np.flatnonzero(y[row] == 0)

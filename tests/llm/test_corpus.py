@@ -423,6 +423,21 @@ def test_toxicity_of_held_out_texts(spark, odd, nothing):
     assert {r.score for r in toxicity.score(docs, labels.where("toxic = 0"), settings=QUICK).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("batches", [30, 70])
+def test_large_samples_are_trained_in_as_many_passes(monkeypatch, batches):
+    looks, logits = [], toxicity.Network.logits
+
+    def seen(self, words, only=None, *more):
+        looks.append(only is None)
+        return logits(self, words, only, *more)
+
+    monkeypatch.setattr(toxicity.Network, "logits", seen)
+    texts = ["good words", "bad words"] * (24 * batches)
+    toxicity.fit(texts, np.tile([0, 1], 24 * batches).astype(np.float32), toxicity.Settings(window=4, hidden=2, trigrams=64))
+    whole = np.array(looks).reshape(-1, batches).all(1)
+    assert len(whole) == 12 and whole[-2:].all() and whole.sum() >= 6
+
+
 def test_gradients():
     import pyarrow as pa
 
