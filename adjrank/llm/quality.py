@@ -30,7 +30,7 @@ TERMINALS = b".!?:;"
 CLOSERS = b"\"')]}"
 #: Between the entries of menus and breadcrumbs.
 SEPARATORS = b"|>"
-#: A short line that has one of these says nothing of its own.
+#: A short line that has little else says nothing of its own.
 BOILERPLATE = (
     "all rights reserved",
     "click here",
@@ -57,7 +57,8 @@ class Rules:
     min_words, max_repeat_pct  a text below or above them fails as a whole
     max_symbol_ratio           symbols and exclamation marks for each word of a good line
     max_separator_ratio        menu separators for each word of a good line
-    short_line                 words up to which a line with a boilerplate phrase fails
+    short_line                 words up to which a line may be boilerplate
+    phrase_share               part of such a line's words that boilerplate phrases hold at least
     unpunctuated               words from which a line needs one that ends a sentence
     max_lost                   part of a document's words that removed lines may hold
     """
@@ -67,6 +68,7 @@ class Rules:
     max_symbol_ratio: float = 0.25
     max_separator_ratio: float = 0.2
     short_line: int = 25
+    phrase_share: float = 0.25
     unpunctuated: int = 4
     max_lost: float = 0.5
 
@@ -100,6 +102,37 @@ def _ends_well(block: Block, ends: np.ndarray) -> np.ndarray:
     return well
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is of a letter or digit; of others than ASCII, only general punctuation and Latin-1 signs aren't."""
+    table = np.zeros(256, bool)
+    table[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")] = True
+    table[128:] = True
+    out = table[data]
+    follow = np.append(data[1:], 0)
+    general = np.flatnonzero((data == 0xE2) & ((follow == 0x80) | (follow == 0x81)))
+    latin = np.flatnonzero((data == 0xC2) & ~np.isin(follow, (0xAA, 0xB5, 0xBA)))
+    out[np.concatenate([general, general + 1, general + 2, latin, latin + 1])] = False
+    return out
+
+
+def phrase_words(block: Block, line_a: np.ndarray, line_b: np.ndarray) -> np.ndarray:
+    """Words of each line that are in boilerplate phrases, which stand between word borders."""
+    out, letters = np.zeros(len(line_a), np.int64), _letters(block.data)
+    lowered = block.data.tobytes().lower()
+    for phrase in BOILERPLATE:
+        at, where = lowered.find(phrase.encode()), []
+        while at >= 0:
+            where.append(at)
+            at = lowered.find(phrase.encode(), at + 1)
+        a = np.array(where, np.int64)
+        b, line = a + len(phrase), np.searchsorted(line_a, a, side="right") - 1
+        a, b, line = (x[(line >= 0) & (b <= line_b[line])] for x in (a, b, line)) if len(line_a) else (a[:0],) * 3
+        left = (a == line_a[line]) | ~letters[a - 1]
+        right = (b == line_b[line]) | ~letters[np.minimum(b, len(letters) - 1)]
+        np.add.at(out, line[left & right], len(phrase.split()))
+    return out
+
+
 def judge(block: Block, rules: Rules) -> dict[str, np.ndarray]:
     """Counts and verdict of each text, and the byte ranges of the lines to keep."""
     data = block.data
@@ -134,15 +167,8 @@ def judge(block: Block, rules: Rules) -> dict[str, np.ndarray]:
     bad = (in_line >= rules.unpunctuated) & (sentences == 0)
     bad |= marks > np.maximum(1, rules.max_symbol_ratio * in_line)
     bad |= separators > np.maximum(1, rules.max_separator_ratio * in_line)
-    lowered = data.tobytes().lower()
-    for phrase in BOILERPLATE:
-        at, where = lowered.find(phrase.encode()), []
-        while at >= 0:
-            where.append(at)
-            at = lowered.find(phrase.encode(), at + 1)
-        hit = np.searchsorted(line_a, np.array(where, np.int64), side="right") - 1
-        hit = hit[(hit >= 0)]
-        bad[hit] |= in_line[hit] <= rules.short_line
+    held = phrase_words(block, line_a, line_b)
+    bad |= (held > 0) & (in_line <= rules.short_line) & (held >= rules.phrase_share * in_line)
     lost = np.bincount(line_row, weights=np.where(bad, in_line, 0), minlength=block.rows)
     out["base_failed"] = (n_words < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_pct * n_words)
     out["lost_words"] = lost.astype(np.int64)

@@ -180,3 +180,17 @@ def test_equal_lengths_are_ranked_across_parts(spark):
     rows = [(i, "same words in every text") for i in range(500)]
     found = packing.packed(documents(spark, rows).repartition(7), WORD_BPE, 1, size=20).collect()
     assert len({(r.sequence_id, r.offset) for r in found}) == 500 and max(r.sequence_id for r in found) == -(-500 // 3) - 1
+
+
+def test_boilerplate_is_whole_words_and_most_of_a_line():
+    bad = ["Sign in", "Click here to read more.", "Privacy policy | Terms of use", "\u201cRead more\u201d", "please log in."]
+    good = [
+        "Her design in oak won.", "The catalog in print is long.", "A dialog in French began.", "Posts in this thread more often agree.",
+        "On Monday all the boys had to sign in at the school office before they went to class.",
+    ]
+    lines = bad + good
+    # a text of its own for each, and all in one text; no phrase reaches from one text into the next
+    block = next(blocks(pa.array([*lines, "\n".join(lines), "he may sign", " in ink.", "\u00e9sign in.", ""]), 1 << 20))
+    row, _, _, found = quality.judge(block, quality.Rules(unpunctuated=99, max_separator_ratio=9))["lines"]
+    expected = [True] * len(bad) + [False] * len(good)
+    assert found.tolist() == [*expected, *expected, False, False, False]
