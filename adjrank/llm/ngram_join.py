@@ -338,20 +338,22 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     joined = connected_components(links)
     placed = rows.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = placed.groupBy("c").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1")
-    kept = placed.join(least, "c", "left").where("n = 0 or size is null or key <=> least").groupBy("key", "node").agg(F.count("*").alias("copies"))
+    kept = placed.join(least, "c", "left").where("n = 0 or size is null or key <=> least").groupBy("key", "node").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
     kept = cut(kept)
     wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
-    found = wide.join(kept, F.col(f"doc.`{key}`").eqNullSafe(F.col("key"))).select("node", F.col(f"doc.`{text}`").alias("text"), "doc")
+    found = wide.join(kept, F.col(f"doc.`{key}`").eqNullSafe(F.col("key"))).select("node", F.col(f"doc.`{text}`").alias("text"), "n", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = byte_weights(True)
         for batch in batches:
             for block, rows, hashes in _sets(batch.column(1), like.words, weights):
                 part = batch.slice(block.first, block.rows)
-                yield part.filter(pa.array(_nodes(part, rows, hashes) == part.column(0).to_numpy())).select(["node", "doc"])
+                yield part.filter(pa.array(_nodes(part, rows, hashes) == part.column(0).to_numpy())).select(["node", "n", "doc"])
 
-    schema = T.StructType([T.StructField("node", T.LongType()), found.schema["doc"]])
+    schema = T.StructType([T.StructField("node", T.LongType()), found.schema["n"], found.schema["doc"]])
     one = found.mapInArrow(run, schema)
-    if not kept.where("copies > 1").isEmpty():
-        one = one.withColumn("key", F.col(f"doc.`{key}`")).dropDuplicates(["key", "node"])
+    if not kept.where("copies > 1 and n > 0").isEmpty():
+        # rows without shingles have the same node, but are no copies of each other
+        alone = one.where("n = 0")
+        one = one.where("n > 0").withColumn("key", F.col(f"doc.`{key}`")).dropDuplicates(["key", "node"]).drop("key").unionByName(alone)
     return one.select("doc.*")

@@ -104,6 +104,13 @@ def test_representatives(spark, odd, nothing):
     assert ngram_join.representatives(nothing).count() == 0
 
 
+def test_representatives_keep_all_rows_without_shingles(spark):
+    empty = [(None, ""), (None, None), (None, " "), (4, ""), (4, "\n")]
+    copies = [(9, "the same words here again")] * 2
+    found = ngram_join.representatives(documents(spark, empty + copies)).collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(empty + copies[:1], key=str)
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000 + i) for i in range(50)]
