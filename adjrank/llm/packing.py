@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences, bulk-synchronously.
+"""Best-fit packing of token sequences, by a sweep on the driver over counts of lengths.
 
 Documents are tokenized where they are read and cut into pieces of at most
 ``size`` tokens. Pieces and the gaps of begun sequences are kept sorted as
@@ -11,7 +11,9 @@ longest ones open new sequences, as many as they need among themselves.
 
 A run's pieces differ in nothing that matters here, so the rounds need only
 the runs, of which there are no more than ``size`` however many documents
-there are. They are counted over all pieces by Spark. Each piece then finds
+there are. They are counted over all pieces by Spark; the rounds over them are
+a loop on the driver, not Spark jobs. A run takes its gaps at once, the longest
+run first, so no conflicts are left to resolve. Each piece then finds
 its place by its rank within its run: ranks come from counts by part of a run,
 so a length that a third of all documents share is not numbered in one task.
 
