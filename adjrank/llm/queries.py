@@ -8,7 +8,9 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjrank.llm import bpe, hmm, mixing, ngram_join, packing, quality, spotsigs, sql, toxicity, url_rules, warc
+from adjrank.llm import (
+    alignment, bpe, hmm, mixing, ngram_join, packing, quality, spotsigs, sql, suffix_dedup, toxicity, url_rules, warc, whitening,
+)
 from adjrank.session import scratch_path
 
 #: Fixed by the contract.
@@ -79,10 +81,23 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.link_counts(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digests(suffix_dedup.without_repeats(_documents(spark, sf_dir)))
+
+
 def queries():
     each = [
         op1_spotsigs, op2_url_rules, op3_warc_revisits, op4_ngram_join, op5_source_mix,
         op6_best_fit_packing, op7_hidden_markov, op8_quality_rules, op9_token_counts, op10_toxicity,
+        op11_alignment, op12_whitening, op13_suffix_dedup,
     ]
     return {query.__name__: query for query in each}
 

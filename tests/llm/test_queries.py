@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = set(entry.queries()) - set(entry.graph_queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names - {"pipeline"}) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names - {"pipeline"}) == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op1_spotsigs", "op5_source_mix"])
