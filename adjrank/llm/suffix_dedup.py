@@ -47,8 +47,8 @@ WIDTH = 50
 #: Fixed: a perfect difference cover; every difference modulo 21 is that of two of the five.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 NAME = WIDTH - PERIOD + 1
-#: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+#: Bytes of text in a chunk (a longer text is a chunk of its own) and in a stored part.
+CHUNK, PART_BYTES = 4 << 20, 16 << 20
 #: Suffixes in a bucket, and the fewest buckets.
 BUCKET, LEAST_BUCKETS = 4 << 20, 64
 PIECE = 1 << 20
@@ -157,7 +157,7 @@ class Chunk:
         change = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(change, np.maximum(self.bounds[:-1], ends - width + 1), 1)
         np.add.at(change, ends, -1)
-        return np.cumsum(change[:-1]) == 0
+        return np.cumsum(change[:-1], dtype=np.int32) == 0
 
     def row(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, at, side="right") - 1
@@ -198,8 +198,8 @@ class Chunk:
         gone = np.zeros(len(self.data) + 1, np.int32)
         gone[begin] += 1
         np.add.at(gone, end, -1)
-        kept = np.cumsum(gone[:-1]) == 0
-        sums = np.concatenate([[0], np.cumsum(kept)])
+        kept = np.cumsum(gone[:-1], dtype=np.int32) == 0
+        sums = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
         left = self.data[kept].tobytes()
         n_spans = np.searchsorted(row, np.arange(len(self.keys) + 1))
         base = self.bounds[:-1][row]
@@ -342,7 +342,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bytes_of = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     narrow = docs.select(F.col(key).alias("key"), bytes_of.alias("text"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(1, -(-total // CHUNK))
+    parts = max(1, -(-total // PART_BYTES))
     keyed = narrow.where("key is not null")
     for ordered in (False, True):
         if ordered:  # the table's own order does not follow the keys
