@@ -37,3 +37,9 @@ def block_of(vertex: Column, block_size: int) -> Column:
 def check_block_size(block_size: int) -> None:
     if block_size < 1:
         raise ValueError("block_size must be at least 1")
+
+
+def has_bit(bitmap: Column, position: Column) -> Column:
+    """Whether a bitmap (as ``bitmap_construct_agg`` builds them) has the bit; null for a null bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, integer_div(position, 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (position % 8).cast("int")).bitwiseAND(F.lit(1)) == 1

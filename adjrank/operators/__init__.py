@@ -16,7 +16,8 @@ from adjrank.operators.convert import (
 )
 from adjrank.operators.product import NotSettled, kept_step, matvec, matvec_iterate, resume_rows
 from adjrank.operators.order import pair_adjacent, sort_by_rank
-from adjrank.operators.position import global_index, number_rows
+from adjrank.operators.placement import spread_evenly
+from adjrank.operators.position import global_index, load_positions, number_rows, save_sorted
 
 __all__ = [
     "NotSettled",
@@ -27,6 +28,7 @@ __all__ = [
     "edges_to_adjacency",
     "global_index",
     "kept_step",
+    "load_positions",
     "matvec",
     "matvec_iterate",
     "max_rank_difference",
@@ -40,8 +42,10 @@ __all__ = [
     "rank_vector",
     "ranked_from_decoded",
     "resume_rows",
+    "save_sorted",
     "sort_by_rank",
     "split_rows",
+    "spread_evenly",
     "transpose",
     "unconverged_count",
     "vertex_ranges",

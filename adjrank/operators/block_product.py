@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from adjrank.functions.blocks import block_of, check_block_size
 from adjrank.operators.blocks import BY, block_bounds
 from adjrank.operators.layout import Layout, start_vector
-from adjrank.operators.product import finish, iterate, total
+from adjrank.operators.product import finish, iterate, known, total
 from adjrank.session import DEFAULT_LIMITS, Limits, cut
 from adjrank.sources.generator import BLOCK_SIZE
 
@@ -95,12 +95,12 @@ def block_step(vector: DataFrame, layout: Layout, inner: int, first: bool) -> Da
     """
     share = (F.col("rank") / F.col("deg")).alias("part")
     vector = layout.place(vector)
-    # Two passes over the cached links, each in a plan of its own.
-    local = cut(local_ranks(vector, layout, inner)) if inner else vector
-    vector = vector.select("id")
+    local = local_ranks(vector, layout, inner) if inner else vector
+    if inner and layout.heavy is not None:
+        local = cut(local)  # read twice, by light and by heavy rows
     if not first:
         far = layout.sent_by(local, ["far"]).select(F.explode("far").alias("id"), share)
-        return layout.place(total(vector.withColumn("part", F.lit(0.0)).unionAll(far)))
+        return layout.place(total(known(vector), far))
 
     sent = layout.sent_by(local, ["near", "far"]).select(
         F.size("far").alias("border"), share, F.posexplode(F.concat("far", "near")).alias("at", "id")
@@ -111,38 +111,39 @@ def block_step(vector: DataFrame, layout: Layout, inner: int, first: bool) -> Da
         F.when(is_far, F.col("part")).alias("far"),
         F.when(~is_far, F.col("part")).alias("near"),
         F.lit(False).alias("has_row"),
+        F.lit(None).cast("double").alias("old"),
     )
     nothing = F.lit(None).cast("double")
-    known = vector.select("id", nothing.alias("far"), nothing.alias("near"), F.lit(True).alias("has_row"))
-    sums = known.unionAll(received).groupBy("id").agg(
-        F.sum("far").alias("far"), F.sum("near").alias("near"), F.max("has_row").alias("has_row")
+    ids = vector.select("id", nothing.alias("far"), nothing.alias("near"), F.lit(True).alias("has_row"), F.col("rank").alias("old"))
+    sums = ids.unionAll(received).groupBy("id").agg(
+        F.sum("far").alias("far"), F.sum("near").alias("near"), F.max("has_row").alias("has_row"), F.max("old").alias("old")
     )
     near = F.when(F.col("has_row"), F.lit(0.0)).otherwise(F.coalesce("near", F.lit(0.0)))
-    return layout.place(sums.select("id", (F.coalesce("far", F.lit(0.0)) + near).alias("rank")))
+    return layout.place(sums.select("id", (F.coalesce("far", F.lit(0.0)) + near).alias("rank"), "old"))
 
 
 def local_ranks(vector: DataFrame, layout: Layout, inner: int) -> DataFrame:
     """Ranks after the local passes, for every id of the vector."""
     share = (F.col("rank") / F.col("deg")).alias("part")
-    if layout.block is not None:
+    if layout.placement is not None:
         # A block's rows and ranks share a partition, and local links stay in their block.
-        known, sums = vector.select("of", "id", "rank"), []
-        sent = layout.sent_by_light(known, ["near"]).select("of", F.explode("near").alias("id"), share)
+        ids, sums = vector.select("of", "id", "rank"), []
+        sent = layout.sent_by_light(ids, ["near"]).select("of", F.explode("near").alias("id"), share)
         sums.append(sent.groupBy("of", "id").agg(F.sum("part").alias("light")))
         if layout.heavy is not None:
-            sent = layout.sent_by_heavy(known, ["near"]).select("of", F.explode("near").alias("id"), share)
+            sent = layout.sent_by_heavy(ids, ["near"]).select("of", F.explode("near").alias("id"), share)
             sent = sent.groupBy("id").agg(F.sum("part").alias("heavy"))
             sums.append(layout.place(sent))
         for received in sums:
-            known = known.join(received.hint("merge"), ["of", "id"], "left")
-        parts = [F.col(name) for name in ("light", "heavy") if name in known.columns]
+            ids = ids.join(received.hint("merge"), ["of", "id"], "left")
+        parts = [F.col(name) for name in ("light", "heavy") if name in ids.columns]
         part = parts[0] if len(parts) == 1 else F.coalesce(parts[0] + parts[1], *parts)
     else:
         nothing = F.lit(None).cast("double")
         near = layout.sent_by(vector, ["near"]).select(F.explode("near").alias("id"), nothing.alias("rank"), share)
-        known = vector.select("id", "rank", nothing.alias("part")).unionAll(near).groupBy("id")
-        known = known.agg(F.max("rank").alias("rank"), F.sum("part").alias("part"))
+        ids = vector.select("id", "rank", nothing.alias("part")).unionAll(near).groupBy("id")
+        ids = ids.agg(F.max("rank").alias("rank"), F.sum("part").alias("part"))
         # An id without a row has no rank here; it sends nothing.
-        known, part = known.where(F.col("rank").isNotNull()), F.col("part")
+        ids, part = ids.where(F.col("rank").isNotNull()), F.col("part")
     rank = F.coalesce(part * F.lit(inner), F.col("rank")).alias("rank")
-    return known.select(*[c for c in ("of", "id") if c in known.columns], rank)
+    return ids.select(*[c for c in ("of", "id") if c in ids.columns], rank)

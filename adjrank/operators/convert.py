@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adjrank.functions.blocks import integer_div, range_of
 from adjrank.operators.position import global_index
 from adjrank.operators.skew import group_sizes, split_heavy
-from adjrank.session import DEFAULT_LIMITS, Limits
+from adjrank.session import DEFAULT_LIMITS, Limits, cut
 
 
 def attach_rank(adj: DataFrame, value: float = 1.0) -> DataFrame:
@@ -74,12 +74,21 @@ def split_rows(adj: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
 
 
 def merge_segments(adj: DataFrame) -> DataFrame:
-    """One row per vertex again, its segments in order; for formats that have one line per vertex."""
+    """One row per vertex again, its segments in order; for formats that have one line per vertex.
+
+    Only vertices with several rows are shuffled, and none where there are none.
+    """
     if "segment" not in adj.columns:
         return adj
-    others = [F.first(name).alias(name) for name in adj.columns if name not in ("src", "segment", "dst")]
+    several = cut(adj.where("segment > 0").select("src").distinct())
+    columns = [name for name in adj.columns if name != "segment"]
+    if several.isEmpty():
+        return adj.select(*columns)
+    others = [F.first(name).alias(name) for name in columns if name not in ("src", "dst")]
     parts = F.array_sort(F.collect_list(F.struct("segment", "dst")))
-    return adj.groupBy("src").agg(F.flatten(F.transform(parts, lambda x: x["dst"])).alias("dst"), *others)
+    cut_up = adj.join(several, "src", "left_semi").groupBy("src")
+    merged = cut_up.agg(F.flatten(F.transform(parts, lambda x: x["dst"])).alias("dst"), *others)
+    return adj.join(several, "src", "left_anti").select(*columns).unionByName(merged)
 
 
 def transpose(adj: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:

@@ -9,18 +9,16 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adjrank.operators.placement import partition_keys, spread_evenly
 from adjrank.operators.skew import split_heavy
-from adjrank.session import Limits, cut, shuffle_partitions
+from adjrank.session import Limits, cut, cut_and_measure, shuffle_partitions, stored, stored_in_buckets
 
-# Blocks per partition from which hashing whole blocks is even enough.
-BLOCKS_PER_PARTITION = 4
 
-
-def start_vector(ranked: DataFrame, limits: Limits) -> StartVector:
+def start_vector(ranked: DataFrame, limits: Limits, buckets: int | None = None) -> StartVector:
     """Read the vertices of ranked rows: their rank, degree and number.
 
     The rows of one vertex have to differ in ``segment``; without that column
-    a vertex has one row.
+    a vertex has one row. ``buckets`` is how many the rows' table has by ``src``.
     """
     row = ["id"] + ["segment"] * ("segment" in ranked.columns)
     rows = (
@@ -38,13 +36,19 @@ def start_vector(ranked: DataFrame, limits: Limits) -> StartVector:
         )
     else:
         rows = rows.withColumn("rows", F.lit(1))
-    vector = cut(rows)
-    vertices, links, largest, repeated, most = vector.agg(
-        F.count("*"), F.sum("deg"), F.max("deg"), F.count_if(F.col("copies") > 1), F.max("rows")
-    ).first()
+    facts = {
+        "vertices": F.count("*"),
+        "links": F.sum("deg"),
+        "largest": F.max("deg"),
+        "repeated": F.count_if(F.col("copies") > 1),
+        "most": F.max("rows"),
+    }
+    vector, seen = cut_and_measure(rows, *(fact.alias(name) for name, fact in facts.items()))
+    vertices, links, largest, repeated, most = (seen.get(name) for name in facts)
+    vertices, repeated = vertices or 0, repeated or 0
     if repeated:
         raise ValueError(f"{repeated} vertices have several rows; number them in a column 'segment'")
-    return StartVector(ranked, vector.drop("copies", "rows"), vertices, links or 0, largest or 0, (most or 0) > 1, limits)
+    return StartVector(ranked, vector.drop("copies", "rows"), vertices, links or 0, largest or 0, (most or 0) > 1, limits, buckets)
 
 
 @dataclass(frozen=True)
@@ -58,11 +62,12 @@ class StartVector:
     largest: int
     split_up: bool
     limits: Limits
+    buckets: int | None = None
 
     @property
     def partitions(self) -> int:
-        """Partitions of the loop: the session's number, more if a task would get too many links."""
-        return max(shuffle_partitions(self.ranked.sparkSession), -(-self.links // self.limits.task_links))
+        """Partitions of the loop: the rows' buckets, else the session's number or more if a task would get too many links."""
+        return self.buckets or max(shuffle_partitions(self.ranked.sparkSession), -(-self.links // self.limits.task_links))
 
     @property
     def rows(self) -> DataFrame:
@@ -97,16 +102,27 @@ class StartVector:
             return rows, None
         return split_heavy(rows, "src", self.heavy_ids.withColumnRenamed("id", "src"))
 
-    def even_blocks(self, block: Callable[[Column], Column]) -> bool:
-        """Whether whole blocks, hashed to partitions, give partitions of even size."""
-        light = self.vector
+    def place_blocks(self, block: Callable[[Column], Column]) -> Placement | None:
+        """The partitions of blocks, such that links are spread evenly; None if they cannot be.
+
+        Where blocks are too many for a broadcast, groups of them are dealt, as many as may be broadcast.
+        """
+        light, most = self.vector, self.limits.broadcast_rows
         if self.heavy_ids is not None:
             light = light.join(F.broadcast(self.heavy_ids), "id", "left_anti")
-        sums = light.groupBy(block(F.col("id")).alias("block")).agg(F.sum("deg").alias("links"))
-        blocks, largest = sums.agg(F.count("*"), F.max("links")).first()
+        weight = F.sum("deg").alias("weight")
+        sums = cut(light.groupBy(block(F.col("id")).alias("group")).agg(weight))
+        blocks = sums.count()
+        if blocks > most:
+            own, block = block, lambda vertex: F.pmod(F.xxhash64(own(vertex)), F.lit(most))
+            sums = cut(light.groupBy(block(F.col("id")).alias("group")).agg(weight))
         partitions = self.partitions
-        enough = blocks >= BLOCKS_PER_PARTITION * partitions
-        return enough and largest <= max(self.limits.max_links, self.links // partitions)
+        groups, largest = sums.agg(F.count("*"), F.max("weight")).first()
+        if groups < partitions or largest > max(self.limits.max_links, self.links // partitions):
+            return None
+        keys = partition_keys(sums.sparkSession, partitions)
+        placed = spread_evenly(sums, "group", "weight", partitions).join(F.broadcast(keys), "partition")
+        return Placement(block, cut(placed.select("group", "part")), partitions)
 
     def lay_out(
         self,
@@ -114,11 +130,14 @@ class StartVector:
         derive: Callable[[DataFrame, Callable], DataFrame] = lambda rows, own: rows,
         block: Callable[[Column], Column] | None = None,
     ) -> Layout:
-        """Partition and cache the links, keeping ``columns`` of ``derive(rows, own)``.
+        """Partition and store the links, keeping ``columns`` of ``derive(rows, own)``.
+
+        They go to sorted, bucketed tables in the checkpoint folder, which every step reads without a shuffle. Rows that
+        come from such a table by ``src`` stay there.
 
         ``derive`` may join facts about the vertices, one row per ``src``, as
         ``rows.join(own(facts), "src")``. With ``block`` the rows of a block of
-        vertices go to one partition, unless that would make uneven partitions.
+        vertices go to one partition, blocks dealt to partitions by weight, unless that cannot be even.
         """
         rows = self.rows.where(F.size("dst") > 0)
         degrees = self.vector.select(F.col("id").alias("src"), "deg")
@@ -139,23 +158,21 @@ class StartVector:
             keys = self.vector.select(F.col("id").alias("src"))
             # facts may cover ids without a row, of which there is no bound
             held = ready(rows, lambda facts: F.broadcast(facts.join(F.broadcast(keys), "src", "left_semi")))
-            return Layout(self, held.persist(), None, None)
+            return Layout(self, stored(held, "links"), None)
 
         rows, heavy = self.split(rows)
         if heavy is not None:
             keys = F.broadcast(self.heavy_ids.withColumnRenamed("id", "src"))
             heavy = heavy.repartition(partitions, *spread)
-            heavy = ready(heavy, lambda facts: F.broadcast(facts.join(keys, "src", "left_semi"))).persist()
-        if block is None or not self.even_blocks(block):
-            block = None
-            light = ready(rows.repartition(partitions, "src"), lambda facts: facts)
-            light = light.sortWithinPartitions("src").persist()
-        else:
-            light = ready(rows, lambda facts: facts).withColumn("block", block(F.col("src")))
-            light = light.repartition(partitions, "block").sortWithinPartitions("block", "src").persist()
-        # A cached plan tells its partitioning only after it has run.
-        light.count()
-        return Layout(self, light, heavy, block)
+            heavy = stored(ready(heavy, lambda facts: F.broadcast(facts.join(keys, "src", "left_semi"))), "heavy_links")
+        placement = None if block is None else self.place_blocks(block)
+        if placement is not None:
+            light = placement.of(ready(rows, lambda facts: facts), "src", "part")
+            return Layout(self, stored_in_buckets(light, "links", partitions, "part", ["part", "src"]), heavy, placement)
+        if self.buckets and not self.split_up and heavy is None:
+            return Layout(self, ready(rows, lambda facts: facts), None)
+        light = ready(rows.repartition(partitions, "src"), lambda facts: facts)
+        return Layout(self, stored_in_buckets(light, "links", partitions, "src", ["src"]), heavy)
 
     def attach_links(self, vector: DataFrame) -> DataFrame:
         """Ranked rows of a later vector; ids without a row get an empty list."""
@@ -178,21 +195,40 @@ class StartVector:
         return found.unionByName(fresh).select(*self.rows.columns, "rank")
 
 
+@dataclass(frozen=True)
+class Placement:
+    """Groups of vertices and where they go: ``parts`` is ``(group, part)``, few enough to broadcast.
+
+    ``part`` is a key that Spark hashes to the wanted partition, so that no two
+    partitions' groups meet in one.
+    """
+
+    group: Callable[[Column], Column]
+    parts: DataFrame
+    partitions: int
+
+    def of(self, rows: DataFrame, vertex: str, name: str) -> DataFrame:
+        """Add the part of each row's vertex; a group without links may go anywhere."""
+        parts = self.parts.select(F.col("group").alias("_group"), F.col("part").alias("_part"))
+        found = rows.withColumn("_group", self.group(F.col(vertex))).join(F.broadcast(parts), "_group", "left")
+        return found.withColumn(name, F.coalesce("_part", "_group")).drop("_part", "_group")
+
+
 @dataclass
 class Layout:
-    """Cached links, laid out once for all steps of a loop.
+    """Stored links, laid out once for all steps of a loop.
 
     light   rows ``(src, deg, …)`` in one partitioning for all steps
     heavy   rows of the few vertices with very many links, spread evenly, or None
-    block   gives the block of a vertex if rows and vectors are partitioned by
-            it, in the columns ``block`` and ``of``; else they are by vertex
+    placement  where blocks go if rows and vectors are partitioned by blocks, as
+            the columns ``part`` and ``of`` tell; else they are by vertex
     grown   ids without a row have made the vector too long to broadcast
     """
 
     start: StartVector
     light: DataFrame
     heavy: DataFrame | None
-    block: Callable[[Column], Column] | None
+    placement: Placement | None = None
     grown: bool = False
 
     def sent_by(self, vector: DataFrame, columns: list[str]) -> DataFrame:
@@ -215,10 +251,10 @@ class Layout:
     def sent_by_light(self, vector: DataFrame, columns: list[str]) -> DataFrame:
         """The part of ``sent_by`` that keeps the partitioning, of a vector not small."""
         here = F.col("id") == F.col("src")
-        if self.block is None:
+        if self.placement is None:
             return vector.join(self.light.select("src", "deg", *columns).hint("merge"), here)
-        here &= F.col("of") == F.col("block")
-        return vector.join(self.light.select("block", "src", "deg", *columns).hint("merge"), here).drop("block")
+        here &= F.col("of") == F.col("part")
+        return vector.join(self.light.select("part", "src", "deg", *columns).hint("merge"), here).drop("part")
 
     def sent_by_heavy(self, vector: DataFrame, columns: list[str]) -> DataFrame:
         """The part of ``sent_by`` for the heavy vertices."""
@@ -228,12 +264,6 @@ class Layout:
 
     def place(self, vector: DataFrame) -> DataFrame:
         """Bring a vector to the partitions of its blocks, if rows are placed so."""
-        if self.block is None or "of" in vector.columns:
+        if self.placement is None or "of" in vector.columns:
             return vector
-        partitions = self.start.partitions
-        return vector.withColumn("of", self.block(F.col("id"))).repartition(partitions, "of")
-
-    def unpersist(self) -> None:
-        for rows in (self.light, self.heavy):
-            if rows is not None:
-                rows.unpersist()
+        return self.placement.of(vector, "id", "of").repartition(self.start.partitions, "of")

@@ -24,9 +24,14 @@ def sort_by_rank(ranked: DataFrame, limit: int | None = None) -> DataFrame:
 def pair_adjacent(ranked: DataFrame) -> DataFrame:
     """Pair 1st with 2nd, 3rd with 4th, … by descending rank as ``(pair_id, a, b)``.
 
-    The last vertex of an odd number is paired with itself.
+    The last vertex of an odd number is paired with itself. A vector that has
+    the places in a column ``pos`` (:func:`~adjrank.operators.load_positions`)
+    is not sorted again.
     """
-    placed = global_index(ranked.select("id", "rank") if "id" in ranked.columns else rank_vector(ranked))
+    if "pos" in ranked.columns:
+        placed = ranked
+    else:
+        placed = global_index(ranked.select("id", "rank") if "id" in ranked.columns else rank_vector(ranked))
     # Neighbours mostly share a partition, so they combine before the shuffle.
     return (
         placed.groupBy(integer_div(F.col("pos"), 2).alias("pair_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adjrank.session import cut
@@ -32,6 +32,27 @@ def global_index(df: DataFrame, order: list | None = None, unique: bool = True)
     return number_rows(df.orderBy(*order)).select(*columns, "pos")
 
 
+def save_sorted(df: DataFrame, path: str, order: list | None = None, mode: str = "error") -> None:
+    """Store rows in their total order, by default descending rank; see :func:`load_positions`."""
+    df.orderBy(*(rank_order() if order is None else order)).write.mode(mode).parquet(path)
+
+
+def load_positions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of :func:`save_sorted` with ``pos``, their place 0, 1, … in its order.
+
+    Files follow each other by their number, and rows by their place in the
+    file, so nothing is sorted again: one row per file is summed up.
+    """
+    stored = spark.read.parquet(path)
+    columns = stored.columns
+    name = F.col("_metadata.file_name")
+    number = [F.regexp_extract(name, pattern, 1).cast("bigint") for pattern in (r"^part-(\d+)", r"-c(\d+)")]
+    placed = stored.select(*columns, F.struct(*number).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("_file").count().select("_file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(F.broadcast(offsets), "_file").select(*columns, (F.col("_offset") + F.col("_row")).alias("pos"))
+
+
 def number_rows(df: DataFrame) -> DataFrame:
     """Add ``pos``, the row's place 0, 1, … in the order in which ``df`` delivers its rows."""
     columns = df.columns

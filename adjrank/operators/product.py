@@ -14,9 +14,8 @@ from contextlib import nullcontext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjrank.operators.compare import unconverged_count
 from adjrank.operators.layout import Layout, StartVector, start_vector
-from adjrank.session import DEFAULT_LIMITS, Limits, cut, static_plans
+from adjrank.session import DEFAULT_LIMITS, Limits, cut_and_measure, static_plans
 
 log = logging.getLogger(__name__)
 
@@ -58,6 +57,7 @@ def matvec_iterate(
     max_iterations: int | None = None,
     limits: Limits = DEFAULT_LIMITS,
     keep: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Repeat the step a number of times, or until no rank moves by more than ``threshold``.
 
@@ -72,10 +72,14 @@ def matvec_iterate(
     has rank 0.0, one without a row an empty list. ``output='vector'`` leaves
     the lists out: ``(id, rank)`` instead of ``(src, dst, rank)``.
 
+    Rows from :func:`~adjrank.sources.load_buckets` need no layout: with their
+    number of ``buckets`` a loop reads the links from that table in every step,
+    without a shuffle of them.
+
     ``ranked`` is read twice, once for the vertices and once for the links;
     save or checkpoint it first when it is expensive to compute.
     """
-    start = start_vector(ranked, limits)
+    start = start_vector(ranked, limits, buckets)
     vector = iterate(
         start, lambda _: start.lay_out(["dst"]), naive_step, iterations, threshold, max_iterations, opening=_opening, keep=keep
     )
@@ -87,22 +91,29 @@ def _opening(start: StartVector) -> DataFrame:
     received = start.ranked.select(
         F.explode("dst").alias("id"), (F.col("rank") / F.greatest(F.size("dst"), F.lit(1))).alias("part")
     )
-    return total(start.vector.select("id", F.lit(0.0).alias("part")).unionAll(received))
+    return total(known(start.vector), received)
 
 
 def naive_step(vector: DataFrame, layout: Layout, first: bool) -> DataFrame:
-    """One product.
-
-    A zero of every known id goes along with the contributions, so that a
-    single aggregation does the work of a sum and an outer join.
-    """
+    """One product: ``(id, rank, old)``."""
     sent = layout.sent_by(vector, ["dst"])
     received = sent.select(F.explode("dst").alias("id"), (F.col("rank") / F.col("deg")).alias("part"))
-    return total(vector.select("id", F.lit(0.0).alias("part")).unionAll(received))
+    return total(known(vector), received)
 
 
-def total(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("id").agg(F.sum("part").alias("rank"))
+def known(vector: DataFrame) -> DataFrame:
+    """What goes along with the contributions: a zero of every id and its rank so far.
+
+    So a single aggregation does the work of a sum, of an outer join, and of
+    the join of new with old ranks that the threshold would need.
+    """
+    return vector.select("id", F.lit(0.0).alias("part"), F.col("rank").alias("old"))
+
+
+def total(ids: DataFrame, received: DataFrame) -> DataFrame:
+    """``(id, rank, old)`` of every id that is known or receives something; ``old`` is null without a rank so far."""
+    parts = ids.unionByName(received.withColumn("old", F.lit(None).cast("double")))
+    return parts.groupBy("id").agg(F.sum("part").alias("rank"), F.max("old").alias("old"))
 
 
 def loop_options(iterations: int | None, threshold: float | None) -> tuple[int | None, float | None]:
@@ -130,7 +141,9 @@ def iterate(
 ) -> DataFrame:
     """Run ``step(vector, layout, first)`` until done and return the last vector.
 
-    The lineage is cut after each step. ``opening`` is a way to take the first
+    A step gives ``(id, rank, old)``. Its lineage is cut, and while its rows are
+    written, its ids and those that still move are counted: a step is one job,
+    with or without a threshold. ``opening`` is a way to take the first
     step without a layout, for rows that are not segmented. ``by_ids`` says
     that the layout depends on the ids of the vector and has to be made again
     when the first step has brought new ones.
@@ -140,41 +153,39 @@ def iterate(
     spark = vector.sparkSession
     if start.split_up:
         opening = None
-    try:
-        while start.vertices:
-            if done == 0 and opening is not None:
-                new = cut(opening(start))
-            else:
-                layout = layout or lay_out(vector)
-                # Large vectors keep their partitioning from step to step.
-                with nullcontext() if start.small else static_plans(spark, start.partitions):
-                    new = cut(step(vector, layout, done == 0))
-            done += 1
-            if keep is not None:
-                new.select("id", "rank").write.parquet(step_path(keep, done))
-            moving = None
-            if threshold is not None:
-                with nullcontext() if start.small else static_plans(spark, start.partitions):
-                    moving = unconverged_count(vector, new, threshold).first()[0]
-                log.info("step %d: %d ranks still moving", done, moving)
-            vector = new
-            if moving == 0 or done == iterations:
-                break
-            if iterations is None and max_iterations is not None and done >= max_iterations:
-                raise NotSettled(vector.select("id", "rank"), done, moving)
-            if done == 1:
-                ids = vector.count()
-                if layout is not None and by_ids and ids > start.vertices:
-                    layout.unpersist()
-                    layout = None
-                layout = layout or lay_out(vector)
-                layout.grown = ids > start.limits.broadcast_rows
-    finally:
-        if layout is not None:
-            layout.unpersist()
+    facts = [F.count("*").alias("ids")]
+    if threshold is not None:
+        moved = F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) > F.lit(float(threshold))
+        facts.append(F.count_if(moved).alias("moving"))
+    while start.vertices:
+        if done == 0 and opening is not None:
+            vector, seen = cut_and_measure(opening(start), *facts)
+        else:
+            layout = layout or lay_out(vector)
+            # Large vectors keep their partitioning from step to step.
+            with nullcontext() if start.small else static_plans(spark, start.partitions):
+                vector, seen = cut_and_measure(step(vector, layout, done == 0), *facts)
+        vector, done = vector.drop("old"), done + 1
+        if keep is not None:
+            vector.select("id", "rank").write.parquet(step_path(keep, done))
+        moving = seen.get("moving")
+        if moving is not None:
+            log.info("step %d: %d ranks still moving", done, moving)
+        if moving == 0 or done == iterations:
+            break
+        if iterations is None and max_iterations is not None and done >= max_iterations:
+            raise NotSettled(vector.select("id", "rank"), done, moving)
+        if done == 1:
+            ids = seen["ids"]
+            if layout is not None and by_ids and ids > start.vertices:
+                layout = None
+            layout = layout or lay_out(vector)
+            layout.grown = ids > start.limits.broadcast_rows
     return vector.select("id", "rank")
 
 
+
+
 def finish(start: StartVector, vector: DataFrame, output: str) -> DataFrame:
     if output not in OUTPUTS:
         raise ValueError(f"output must be one of {', '.join(OUTPUTS)}")

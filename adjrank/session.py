@@ -9,7 +9,7 @@ import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 @dataclass(frozen=True)
@@ -72,6 +72,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_measure(df: DataFrame, *facts: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates of the rows that are taken while they are written, by no job of their own."""
+    seen = Observation()
+    return cut(df.observe(seen, *facts)), seen.get
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the checkpoint folder as Parquet and read again, so that readers get only their columns."""
     path = scratch_path(df.sparkSession, name)
@@ -79,12 +85,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, parts: int, by: str, order: list[str]) -> DataFrame:
+    """``df`` as a table in ``parts`` buckets by a column, each one sorted file, in the checkpoint folder.
+
+    Joins and groupings by that column into as many partitions read it without a shuffle.
+    """
+    placed = df.repartition(parts, by).sortWithinPartitions(*order)
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = placed.write.format("parquet").option("path", scratch_path(df.sparkSession, name))
+    writer.bucketBy(parts, by).sortBy(*order).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-# Keep partitionings through checkpoints, and accept one by some of the join keys.
+# Keep partitionings through checkpoints, accept one by some of the join keys, and know that a bucket's one file is sorted.
 STATIC = {
+    # every id has its links: a runtime filter would read them once more for nothing
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
     "spark.sql.adaptive.enabled": "false",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }

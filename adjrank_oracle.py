@@ -199,6 +199,9 @@ select src, case src % 4 when 1 then n - 1 else n end as n_links,
 from o where src % 4 <> 3 group by src, n""",
         "read_rank_vector": f"select src as id, count(*) / 4.0::double as rank from ({BASKET}) where src % 5 <> 3 group by src",
         "graph_roundtrip": listed(BASKET, ", 0::bigint as segment, count(*) / 4.0::double as rank"),
+        "read_range": f"""with n as (select 2 * count(*) as n from part),
+r as (select 3 * (n // {SPLITS}) + least(3, n % {SPLITS}) as first, n // {SPLITS} + (3 < n % {SPLITS})::int as size from n)
+select a.* from ({listed(BOTH_WAYS, ", 0::bigint as segment, 1.0::double as rank")}) a, r where src >= first and src < first + size""",
         "graph_roundtrip_segments": vector(naive(BOTH_WAYS, 1), 1),
         "text_roundtrip_segments": vector(naive(BOTH_WAYS, 1), 1),
         "split_rows": segments(BOTH_WAYS, TIGHT_LINKS),
@@ -240,6 +243,7 @@ a as ({listed("select * from e")})
 select id as src, coalesce(n_links, 0) as n_links, coalesce(links, '') as links, round(r, 9) as rank
 from r1 left join a on a.src = r1.id""",
         "matvec_resumed": vector(naive(BASKET, 3), 3),
+        "matvec_bucketed": vector(naive(BASKET, 3), 3),
         "matvec_dangling": vector(naive(f"select distinct * from ({TO_SUPPLIER})", 1), 1),
         "matvec_multilink": vector(naive(BOTH_WAYS, 2), 2),
         "matvec_heavy": vector(naive(BOTH_WAYS, 2), 2),
@@ -260,6 +264,7 @@ from r1 n left join r0 o on o.id = n.id""",
         "top_k_by_rank": f"{placed(basket_1, 1)} select id, rank, pos from z where pos < {TOP}",
         "rank_position": f"{placed(basket_1, 1)} select id, rank, pos from z",
         "pair_adjacent": pairs(basket_1, 1),
+        "pair_adjacent_stored": pairs(basket_1, 1),
         "naive_nsd": f"{placed(naive(BASKET, 3), 3)} select id, rank, pos from z",
         "partitioned_nsd": f"{placed(blocked(BASKET, 2, BLOCK, 1), 2)} select id, rank, pos from z",
         "inner_outer_nsd": f"{placed(blocked(BASKET, 2, BLOCK, 2), 2)} select id, rank, pos from z",

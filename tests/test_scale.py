@@ -109,7 +109,7 @@ def test_bounds_of_ids_without_a_row_are_not_broadcast(spark):
     original = F.broadcast
     try:
         F.broadcast = lambda df: sent.append(df) or original(df)
-        start.lay_out(["near", "far"], lambda part, facts: _split_links(64, "position", ids, part, facts)).unpersist()
+        start.lay_out(["near", "far"], lambda part, facts: _split_links(64, "position", ids, part, facts))
     finally:
         F.broadcast = original
     # a partition's offset is a row as well
