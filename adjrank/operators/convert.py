@@ -21,18 +21,19 @@ def adjacency_to_edges(adj: DataFrame) -> DataFrame:
     return adj.select("src", F.explode("dst").alias("dst"))
 
 
-def edges_to_adjacency(edges: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def edges_to_adjacency(edges: DataFrame, limits: Limits = DEFAULT_LIMITS, total: int | None = None) -> DataFrame:
     """Gather links by source into rows ``(src, segment, dst)``, ascending.
 
     A vertex is one row, segment 0, unless it has more than ``limits.max_links``
     links; then every ``max_links`` of its sorted list are a segment of their
-    own. ``edges`` is read twice, first to count.
+    own. ``edges`` is read twice, first to count; once if their ``total`` number
+    is given and no more than ``limits.max_links``.
 
     The few vertices with too many links for one task are never gathered: their
     edges are put in order by a range sort and cut into segments by position.
     """
     edges = edges.select("src", "dst")
-    sizes = group_sizes(edges, "src", limits)
+    sizes = group_sizes(edges, "src", limits, total)
     light = edges
     if sizes.heavy is not None:
         light, many = split_heavy(edges, "src", sizes.heavy)

@@ -17,12 +17,14 @@ class GroupSizes(NamedTuple):
     heavy: DataFrame | None
 
 
-def group_sizes(df: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS) -> GroupSizes:
+def group_sizes(df: DataFrame, key: str, limits: Limits = DEFAULT_LIMITS, total: int | None = None) -> GroupSizes:
     """Measure the groups of ``df``, one pass over the key.
 
-    The counts are pre-aggregated before their shuffle. At most
+    No pass is needed where the ``total`` number of rows is known and not too large for one group. The counts are pre-aggregated before their shuffle. At most
     ``limits.broadcast_rows`` keys can be heavy, see ``Limits.heavy_above``.
     """
+    if total is not None and total <= limits.max_links:
+        return GroupSizes(total, None)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
     if total is None:

@@ -31,7 +31,8 @@ def basket_edges(lineitem: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFr
     put in order by a range sort; their neighbours meet by position.
     """
     lines = lineitem.select(*LINE_ORDER)
-    heavy = group_sizes(lines, "l_orderkey", limits).heavy
+    # a count of a table reads no more than its files' footers
+    heavy = group_sizes(lines, "l_orderkey", limits, lineitem.count()).heavy
     if heavy is None:
         steps = _next_in_window(lines)
     else:
@@ -58,7 +59,8 @@ def basket_rows(lineitem: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFra
 
 
 def ranked_rows(edges: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    return stored(attach_rank(edges_to_adjacency(stored(edges, "edges"), limits)), "rows")
+    edges = stored(edges, "edges")
+    return stored(attach_rank(edges_to_adjacency(edges, limits, edges.count())), "rows")
 
 
 def supply_edges(lineitem: DataFrame, both_ways: bool = False) -> DataFrame:
