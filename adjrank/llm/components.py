@@ -1,34 +1,63 @@
-"""Connected components of an edge list, by contracting towards smaller ids."""
+"""Connected components of an edge list, by hooking on smaller neighbours and pointer jumping."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adjrank.session import cut
+from adjrank.session import stored
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) of every node in edges ``a``, ``b`` (bigint).
+def _roots(moves: DataFrame) -> DataFrame:
+    """``at`` and the end ``to`` of its chain of moves; chains go to ever smaller nodes.
+
+    All chains are halved at once, so there are as many joins as their longest
+    has binary digits.
+    """
+    while True:
+        further = moves.select(F.col("at").alias("to"), F.col("to").alias("further"))
+        jumped = moves.join(further, "to", "left")
+        moves = stored(jumped.select("at", F.coalesce("further", "to").alias("to"), (F.col("further") < F.col("to")).alias("moved")), "moves")
+        if moves.where("moved").isEmpty():
+            return moves.select("at", "to")
+        moves = moves.select("at", "to")
+
+
+def contract(edges: DataFrame) -> list[DataFrame]:
+    """Rounds ``(at, to)`` that take every node of edges ``a``, ``b`` (bigint) to the smallest of its component.
 
-    In a round every node moves to its smallest neighbour and the graph
-    shrinks to the nodes that were moved to, until no edge is left. Rounds are
-    few, as a path halves at least. A node's neighbours meet as partial
-    minima, so a hub is no hot key. Edges with nulls and loops are ignored.
+    In a round every node hooks on its smallest neighbour, if that is smaller
+    than itself, and goes to the root of the tree that this makes; edges
+    between roots are left. A root is smaller than all its neighbours, so it
+    takes them in, or it is next to one that a smaller root took in, and then
+    hooks in the next round: roots at least halve in two rounds. A node's
+    neighbours meet as partial minima, so a hub is no hot key.
     """
-    edges = cut(edges.where("a <> b").select("a", "b").distinct())
-    placed = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    edges, rounds = stored(edges.where("a <> b").select("a", "b").distinct(), "links"), []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("b"))
-        moves = cut(least.select(F.col("a").alias("at"), F.least("a", "b").alias("to")))
-        # where a node moved to may itself have moved: go on from there at once
-        further = moves.select(F.col("at").alias("to"), F.col("to").alias("further"))
-        moves = cut(moves.join(further, "to", "left").select("at", F.coalesce("further", "to").alias("to")))
-        placed = cut(
-            placed.join(moves, placed.component == moves.at, "left").select("node", F.coalesce("to", "component").alias("component"))
-        )
-        first = edges.join(moves, edges.a == moves.at, "left").select(F.coalesce("to", "a").alias("a"), "b")
-        second = first.join(moves, first.b == moves.at, "left").select("a", F.coalesce("to", "b").alias("b"))
-        edges = cut(second.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    return placed
+        least = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("b"))
+        moves = _roots(stored(least.select("at", F.least("at", "b").alias("to")), "moves"))
+        rounds.append(moves)
+        first = edges.join(moves, edges.a == moves.at).select(F.col("to").alias("a"), "b")
+        second = first.join(moves, first.b == moves.at).select("a", F.col("to").alias("b"))
+        edges = stored(second.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    return rounds
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) of every node in edges ``a``, ``b`` (bigint).
+
+    Edges with nulls and loops are ignored. Every step is a table in the
+    checkpoint folder, so plans stay short and sizes are those of files.
+    """
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    rounds = contract(edges)
+    if not rounds:
+        return nodes.where("false").select("node", F.col("node").alias("component"))
+    # from the last round, which has the fewest nodes, back to the first, which has all
+    placed = rounds[-1]
+    for moves in reversed(rounds[:-1]):
+        further = placed.select(F.col("at").alias("to"), F.col("to").alias("further"))
+        placed = stored(moves.join(further, "to", "left").select("at", F.coalesce("further", "to").alias("to")), "placed")
+    return placed.select(F.col("at").alias("node"), F.col("to").alias("component"))

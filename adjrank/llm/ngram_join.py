@@ -31,14 +31,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adjrank.llm.components import connected_components
-from adjrank.llm.sums import SCHEMA, slices, summed
-from adjrank.llm.words import blocks, byte_weights, mix, repeats, shingles, total
-from adjrank.session import cut, scratch_path
+from adjrank.llm.sums import SCHEMA, count_slices, summed_counts
+from adjrank.llm.tables import Scratch
+from adjrank.llm.words import blocks, byte_weights, free_worker, mix, repeats, shingles, total
+from adjrank.session import cut
 
 #: Sketch cells: at least so many for each document, between the two bounds (powers of two).
 CELLS_A_DOCUMENT, LEAST_BITS, MOST_BITS = 8, 16, 24
@@ -84,21 +86,21 @@ def _sets(texts: pa.Array, words: int, weights: np.ndarray):
 def frequency_sketch(docs: DataFrame, text: str, words: int, bits: int) -> np.ndarray:
     """Counts of documents by the first ``bits`` of their shingles' hashes, over all documents.
 
-    A task sends its counts once, in slices that are added up where they meet;
-    the sketch has 2**bits numbers whatever the input is.
+    A task sends its counts once, those that are not 0, in slices that are added
+    up where they meet; the sketch has 2**bits numbers whatever the input is.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, weights = np.zeros(1 << bits, np.int64), byte_weights(True)
+        free_worker()
+        cells, weights = np.zeros(1 << bits, np.uint32), byte_weights(True)
         for batch in batches:
             for _, _, found in _sets(batch.column(0), words, weights):
                 where, n = np.unique(found >> np.uint64(64 - bits), return_counts=True)
-                cells[where.astype(np.int64)] += n
-        if cells.any():
-            yield slices(np.minimum(cells, 2**32 - 1).astype(np.uint32))
+                cells[where.astype(np.int64)] += n.astype(np.uint32)
+        yield count_slices(cells)
 
     own = docs.select(F.col(text).alias("text")).mapInArrow(count, SCHEMA)
-    return summed(own, 1 << bits, np.uint32)
+    return summed_counts(own, 1 << bits, 2**32 - 1)
 
 
 def describe(docs: DataFrame, key: str, text: str, like: Likeness, sketch) -> DataFrame:
@@ -139,20 +141,14 @@ def describe(docs: DataFrame, key: str, text: str, like: Likeness, sketch) -> Da
     return narrow.mapInArrow(run, f"key {kind}, node bigint, n bigint, common bigint, leading array<bigint>, seen array<bigint>")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def exact(pairs: DataFrame, like: Likeness) -> DataFrame:
     """The pairs ``a``, ``b`` whose texts ``text_a`` and ``text_b`` link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         weights = byte_weights(True)
         for batch in batches:
-            sizes = np.add(*(np.diff(_offsets(batch.column(i))) for i in (2, 3)))
+            sizes = np.add(*(pc.binary_length(batch.column(i)).to_numpy().astype(np.int64) for i in (2, 3)))
             cut_at = np.flatnonzero(np.diff(np.cumsum(sizes) // PAIR_BYTES, prepend=-1))
             for first, last in zip(cut_at, [*cut_at[1:], batch.num_rows], strict=True):
                 part = batch.slice(int(first), int(last - first))
@@ -170,10 +166,6 @@ def exact(pairs: DataFrame, like: Likeness) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _offsets(texts: pa.Array) -> np.ndarray:
-    return np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
-
-
 def _nodes(part: pa.RecordBatch, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Class of each text of a block from its distinct shingles."""
     order = np.argsort(rows, kind="stable")
@@ -199,16 +191,18 @@ def _texts(docs: DataFrame, key: str, text: str, like: Likeness, wanted: DataFra
     return found.select("node", "text").mapInArrow(run, "node bigint, text string").dropDuplicates(["node"])
 
 
-def _checked(docs, key, text, like, classes, pairs) -> DataFrame:
-    """The candidate pairs that link, by their texts."""
+def _checked(docs, key, text, like, classes, pairs, scratch) -> DataFrame:
+    """The candidate pairs that link, by their texts, which are dropped when that is known."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = cut(classes.join(nodes, "node", "left_semi").select("node", "label"))
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
-    held = stored(_texts(docs, key, text, like, wanted), "texts")
+    held = scratch.store(_texts(docs, key, text, like, wanted), "texts")
     both = pairs.select("a", "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(exact(both, like))
+    linked = scratch.store(exact(both, like), f"linked-{len(scratch.paths)}")
+    scratch.empty("texts")
+    return linked
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()):  # noqa: B008
@@ -222,23 +216,28 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     wanted = CELLS_A_DOCUMENT * max(1, docs.count())
     bits = min(MOST_BITS, max(LEAST_BITS, int(wanted - 1).bit_length()))
     sketch = spark.sparkContext.broadcast(frequency_sketch(docs, text, like.words, bits))
-    rows = stored(describe(docs, key, text, like, sketch), "sets")
+    scratch = Scratch(spark)
+    rows = scratch.store(describe(docs, key, text, like, sketch), "sets")
     classes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("label"), F.count("*").alias("copies"))
-    classes = cut(classes)
-
-    entries = _entries(rows, classes)
-    stars = _stars(entries)
-    links = _checked(docs, key, text, like, classes, stars)
+    classes = scratch.store(classes, "classes")
+
+    entries = scratch.store(_entries(rows, classes), "entries")
+    # without the leading shingles, which the entries have
+    rows = scratch.store(rows.select("key", "node", "n"), "rows")
+    scratch.empty("sets")
+    stars = scratch.store(_stars(entries), "stars")
+    links = _checked(docs, key, text, like, classes, stars, scratch)
     # again with other central classes, for those that are not like the first ones
-    unjoined = _unjoined(entries, connected_components(links), like)
-    again = _other_stars(unjoined)
+    unjoined = scratch.store(_unjoined(entries, connected_components(links), like), "unjoined")
+    scratch.empty("entries")
+    again = scratch.store(_other_stars(unjoined), "again")
     if not again.isEmpty():
-        links = cut(links.unionByName(_checked(docs, key, text, like, classes, again)))
+        links = scratch.store(links.unionByName(_checked(docs, key, text, like, classes, again, scratch)), "links")
     # what has fallen away stays away when more is joined
-    pairs = cut(_product(_unjoined(unjoined.drop("component"), connected_components(links), like), like))
+    pairs = scratch.store(_product(_unjoined(unjoined.drop("component"), connected_components(links), like), like), "pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(_checked(docs, key, text, like, classes, pairs))
-    return rows.select("key", "node", "n"), links
+        links = links.unionByName(_checked(docs, key, text, like, classes, pairs, scratch))
+    return rows, links
 
 
 def _entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -254,7 +253,7 @@ def _entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
     centre = F.max(group).over(_column())
     least, most = F.min("node").over(_column()), F.max("node").over(_column())
     out = each.withColumns({"centre": centre, "several": least < most}).where("several or cut")
-    return stored(out.select("gram", "part", "cut", "node", "n", "common", "pos", F.col("centre.node").alias("centre")), "entries")
+    return out.select("gram", "part", "cut", "node", "n", "common", "pos", F.col("centre.node").alias("centre"))
 
 
 def _column():
@@ -269,7 +268,7 @@ def _stars(entries: DataFrame) -> DataFrame:
     parts = entries.where("cut and node = centre").select("gram", F.col("centre").alias("node")).join(over, "gram")
     parts = parts.groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.centre").alias("centre"))
     pairs = best.unionByName(parts).where("node <> centre")
-    return cut(pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _unjoined(entries: DataFrame, joined: DataFrame, like: Likeness) -> DataFrame:
@@ -284,7 +283,7 @@ def _unjoined(entries: DataFrame, joined: DataFrame, like: Likeness) -> DataFram
         spread = placed.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).where("x < y")
         placed = placed.join(spread.select("gram", "least"), "gram").withColumn("least", F.greatest("least", F.expr(like.smallest("n"))))
         placed = placed.where(f"pos <= n - {like.least_overlap('n', 'least')}").drop("least")
-    return cut(placed.distinct())
+    return placed.distinct()
 
 
 def _other_stars(placed: DataFrame) -> DataFrame:
@@ -296,7 +295,7 @@ def _other_stars(placed: DataFrame) -> DataFrame:
     votes = placed.join(centres, "gram").select("node", F.explode(met).alias("c")).groupBy("node", "c.draw", "c.centre").agg(F.count("*").alias("shared"))
     ranked = Window.partitionBy("node").orderBy(F.desc("shared"), "draw")
     best = votes.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= CENTRES)
-    return cut(best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+    return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def _product(placed: DataFrame, like: Likeness) -> DataFrame:

@@ -19,6 +19,60 @@ def slices(cells: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["at", "cells"])
 
 
+def count_slices(counts: np.ndarray) -> pa.RecordBatch:
+    """A task's counts, cut into slices that have something, each in the fewest bytes.
+
+    A slice's first byte tells how many bytes a count has, and whether all are
+    there in order or only those that are not 0, behind their places.
+    """
+    at, parts = [], []
+    for i in range(0, len(counts), SLICE):
+        cells = counts[i : i + SLICE]
+        where = np.flatnonzero(cells)
+        if not len(where):
+            continue
+        width = next(w for w in (1, 2, 4, 8) if int(cells.max()) < 1 << 8 * w)
+        kind = f"<u{width}"
+        if len(where) * (2 + width) < len(cells) * width:
+            held = bytes([width | 16]) + where.astype("<u2").tobytes() + cells[where].astype(kind).tobytes()
+        else:
+            held = bytes([width]) + cells.astype(kind).tobytes()
+        at.append(i // SLICE)
+        parts.append(held)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(parts, pa.binary())], ["at", "cells"])
+
+
+def counted(held: bytes) -> np.ndarray:
+    """A slice of :func:`count_slices` again, as long as its last count needs."""
+    width, few = held[0] & 15, held[0] & 16
+    if not few:
+        return np.frombuffer(held, f"<u{width}", offset=1).astype(np.uint64)
+    n = (len(held) - 1) // (2 + width)
+    where = np.frombuffer(held, "<u2", n, 1)
+    out = np.zeros(int(where[-1]) + 1, np.uint64)
+    out[where] = np.frombuffer(held, f"<u{width}", n, 1 + 2 * n)
+    return out
+
+
+def summed_counts(partial: DataFrame, size: int, most: int) -> np.ndarray:
+    """The sum of the counts that tasks gave to :func:`count_slices`, none above ``most``."""
+    kind = np.min_scalar_type(most)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                cells = counted(held.as_py())
+                sums.setdefault(at, np.zeros(min(SLICE, size - at * SLICE), np.uint64))[: len(cells)] += cells
+        for at, cells in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(cells, most).astype(kind).tobytes()])], ["at", "cells"])
+
+    out = np.zeros(size, kind)
+    for row in partial.repartition(-(-size // SLICE), "at").mapInArrow(add, SCHEMA).toLocalIterator():
+        out[row["at"] * SLICE : (row["at"] + 1) * SLICE] = np.frombuffer(row["cells"], kind)
+    return out
+
+
 def summed(partial: DataFrame, size: int, kind: type) -> np.ndarray:
     """The sum of the arrays (of ``size`` and ``kind``) that tasks gave to :func:`slices`.
 

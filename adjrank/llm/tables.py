@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from adjrank.session import scratch_path
 
@@ -19,3 +19,22 @@ def bucketed(df: DataFrame, name: str, parts: int, by: str) -> DataFrame:
     writer = df.write.format("parquet").option("path", path).option("compression", "zstd")
     writer.bucketBy(max(1, min(parts, MOST_PARTS)), by).saveAsTable(table)
     return df.sparkSession.table(table)
+
+
+class Scratch:
+    """Stored tables, each emptied when it is used up."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths[name] = path
+        return self.spark.read.parquet(path)
+
+    def empty(self, name: str) -> None:
+        """Free the table's space; nothing that is still to be computed may read it."""
+        path = self.paths.pop(name)
+        nothing = self.spark.createDataFrame([], self.spark.read.parquet(path).schema)
+        nothing.write.mode("overwrite").parquet(path)

@@ -49,6 +49,11 @@ def per_worker(name: str, make: Callable[[], object]) -> object:
     return held[name]
 
 
+def free_worker() -> None:
+    """Drop what :func:`per_worker` keeps, for operators that need the memory themselves."""
+    sys.modules.pop("_kept_by_worker", None)
+
+
 class Powers:
     """Powers of STEP and of its inverse, modulo 2**64, as far as they were asked for."""
 

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from llm_cases import clashing, documents
 
-from adjrank.llm import hmm, mixing, ngram_join, spotsigs, toxicity, url_rules, warc
-from adjrank.llm.components import connected_components
+from adjrank.llm import hmm, mixing, ngram_join, spotsigs, sums, toxicity, url_rules, warc
+from adjrank.llm.components import connected_components, contract
 from adjrank.llm.words import blocks, byte_weights
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,6 +121,26 @@ def test_connected_components(spark):
     assert found == {x: groups.find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+@pytest.mark.parametrize("order", ["ascending", "mixed"])
+def test_components_of_a_long_path_take_few_rounds(spark, order):
+    names = list(range(5000))
+    if order == "mixed":
+        np.random.default_rng(2).shuffle(names)
+    path = [(int(a), int(b)) for a, b in zip(names, names[1:], strict=False)]
+    rounds = contract(spark.createDataFrame(path, "a bigint, b bigint"))
+    assert len(rounds) <= 20 and rounds[-1].where("to <> 0").isEmpty()
+
+
+def test_counts_are_an_exact_round_trip():
+    for counts in ([0] * 70000, [0] * 69999 + [7], list(range(70000)), [2**32 - 1] + [0] * 10, [1] * 10):
+        held = np.array(counts, np.uint32)
+        out = np.zeros(len(held), np.uint64)
+        for at, cells in zip(*(x.to_pylist() for x in sums.count_slices(held).columns), strict=True):
+            found = sums.counted(cells)
+            out[at * sums.SLICE : at * sums.SLICE + len(found)] = found
+        assert (out == held).all()
+
+
 # --- fingerprints --------------------------------------------------------------
 
 
