@@ -39,6 +39,8 @@ COMPONENTS = 32
 BLOCK_ROWS = 4096
 #: Relative to the largest coefficient: what counts as a breakdown, and singular values that count as zero.
 BREAKDOWN, ZERO = 1e-12, 1e-9
+#: Bytes of integers that a task reads in a pass: the lower while there are no more than so many tasks, else the upper.
+TASK_BYTES, TASKS, MOST_TASK_BYTES = 1 << 20, 256, 32 << 20
 KINDS = (np.int8, np.int16, np.int32, np.int64)
 
 
@@ -167,6 +169,10 @@ def bidiagonalise(blocks: DataFrame, n: int, mean: np.ndarray) -> Spectrum:
 def whitened(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", components: int = COMPONENTS) -> DataFrame:
     """For each remaining row and component: ``key``, ``component``, ``n``, ``deviation``, ``whitened``, ``explained``, ``identity_error``."""
     blocks = stored(integer_blocks(vectors, key, vector), "integers")
+    size = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    # many passes follow, so no task of theirs should open many small files
+    tasks = min(-(-size // TASK_BYTES), max(TASKS, -(-size // MOST_TASK_BYTES)))
+    blocks = stored(blocks.coalesce(max(1, tasks)), "blocks")
     kind = blocks.schema["keys"].dataType.elementType
     out = T.StructType(
         [T.StructField(key, kind), T.StructField("component", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("deviation", T.LongType())]
