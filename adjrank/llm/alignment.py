@@ -22,24 +22,27 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from adjrank.llm.bpe import byte_letters, groups as texts_of
+from adjrank.llm.bpe import PRE_TOKEN, byte_letters, groups as texts_of
 from adjrank.llm.tables import bucketed
 from adjrank.session import stored
 
 #: Characters that are tokenized at once; links that are kept in a block; bytes of text for each stored part.
-CHARS, LINKS, PART_BYTES = 1 << 19, 6_000_000, 16 << 20
+CHARS, LINKS, PART_BYTES = 1 << 18, 3_000_000, 16 << 20
+#: Pre-tokens whose ids a task keeps; beyond that it begins anew.
+KEPT = 200_000
 #: Links of a group from which equal ids are counted together.
 LONG = 64
 
@@ -60,13 +63,45 @@ class Pieces:
         return self.data[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class ByteWords:
+    """Ids of texts by a byte-level vocabulary's library, put together from those of their pre-tokens.
+
+    No token reaches across pre-tokens, so each different one is given to the library once.
+    """
+
+    def __init__(self, model):
+        self.model, self.split = model, regex.compile(PRE_TOKEN)
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.clear()
+
+    def clear(self):
+        self.place: dict[str, int] = {}
+        self.held, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if len(self.place) > KEPT:
+            self.clear()
+        words = [self.split.findall(x) for x in texts]
+        new = list({w for found in words for w in found if w not in self.place})
+        if new:
+            made = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letters))] for w in new]
+            self.place.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.held = np.concatenate([self.held, np.fromiter((i for x in made for i in x), np.int64)])
+            self.sizes = np.concatenate([self.sizes, np.array([len(x) for x in made], np.int64)])
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
+        sizes, starts = self.sizes[at], (np.cumsum(self.sizes) - self.sizes)[at]
+        ends = np.cumsum(sizes)
+        ids = self.held[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, _sums(sizes, np.array([len(x) for x in words], np.int64))
+
+
 class Tokenizers:
     """Both libraries, without special tokens: their strings are ordinary text."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.words = ByteWords(self.a.model)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {letter: i for i, letter in enumerate(byte_letters())}
         with open(path_a, encoding="utf-8") as file:
@@ -83,9 +118,9 @@ class Tokenizers:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
-        return [x.ids for x in a], self.b.encode(texts, num_threads=1)
+    def ids(self, texts: list[str]):
+        """Ids and their number in each text, of both."""
+        return self.words.ids([" " + x if x else "" for x in texts]), _flat(self.b.encode(texts, num_threads=1))
 
 
 class Tokens(NamedTuple):
@@ -111,7 +146,7 @@ def tokens(texts: list[str], both: Tokenizers) -> tuple[Tokens, Tokens]:
     """Tokens of both for the texts that both give back byte by byte; the others have none."""
     spelled = [b" " + x.encode() if x else b"" for x in texts]
     sizes = np.array([len(x) for x in spelled], np.int64)
-    (ids_a, n_a), (ids_b, n_b) = map(_flat, both.ids(texts))
+    (ids_a, n_a), (ids_b, n_b) = both.ids(texts)
     good = (sizes > 0) & (_sums(both.pieces_a.sizes[ids_a], n_a) == sizes) & (_sums(both.pieces_b.sizes[ids_b], n_b) == sizes)
     for _ in range(2):  # first by length, then byte by byte
         ids_a, ids_b = ids_a[np.repeat(good, n_a)], ids_b[np.repeat(good, n_b)]
@@ -174,7 +209,7 @@ def written(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray, n: i
 def _entries(ids: np.ndarray, group: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Group, id and number of tokens, with equal ids of a long group together; in the order of groups."""
     if not long.any():
-        return group, ids, np.ones(len(ids), np.int64)
+        return group, ids, np.ones(len(ids), np.int8)
     in_long = long[group]
     held, number = np.unique((group[in_long] << 24) | ids[in_long], return_counts=True)
     group = np.concatenate([group[~in_long], held >> 24])
@@ -200,7 +235,7 @@ def links(entries_a, entries_b, doc_of: np.ndarray) -> Links:
     ends = np.cumsum(n)
     at_b = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[group] - ends + n, n)
     at_a = np.repeat(np.arange(len(group)), n)
-    return Links(doc_of[group][at_a], (id_a[at_a] << 32) | id_b[at_b], many_a[at_a] * many_b[at_b])
+    return Links(doc_of[group].astype(np.int32)[at_a], (id_a[at_a] << 32) | id_b[at_b], many_a[at_a] * many_b[at_b])
 
 
 class Block:
@@ -215,7 +250,7 @@ class Block:
     def add(self, keys: pa.Array, docs: pa.Array, found: Links):
         self.keys.append(keys)
         self.docs.append(docs)
-        self.links.append(Links(found.doc + self.n, found.pair, found.number))
+        self.links.append(Links(found.doc + np.int32(self.n), found.pair, found.number))
         self.n += len(keys)
         self.size += len(found.pair)
 
@@ -234,7 +269,7 @@ def _stored_row(number: int, home: int, keys: pa.Array, docs: pa.Array, found: L
     held = np.add.reduceat(once.astype(np.int64), starts) if len(starts) else starts
     bounds = np.searchsorted(found.doc, np.arange(len(keys) + 1))
     one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-    many = found.number.tobytes() if (found.number != 1).any() else b""
+    many = found.number.astype(np.int64).tobytes() if (found.number != 1).any() else b""
     columns = {
         "block": pa.array([number]),
         "home": pa.array([home]),
