@@ -73,31 +73,9 @@ from documents d left join n using (doc_id)
 join (select doc_id, min(place) as least from reached group by doc_id) r using (doc_id)"""
 
 
-def suffix_dedup() -> str:
-    return """with d as (
-  select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
-b as (select doc_id, h, n, unnest(range(n)) as i from d),
-w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from b where i + 50 <= n),
-least as (select s, min(doc_id) as first from w group by s),
-hit as (select doc_id, i from w join least using (s) where first < doc_id),
-last as (
-  select b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) as byte,
-    coalesce(max(hit.i) over (partition by b.doc_id order by b.i) >= b.i - 49, false) as gone
-  from b left join hit on b.doc_id = hit.doc_id and b.i = hit.i),
-runs as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as begins from last),
-done as (
-  select doc_id, count(*) filter (where gone) as n_removed, count(*) filter (where begins) as n_spans,
-    coalesce(string_agg(byte, '' order by i) filter (where not gone), '') as kept
-  from runs group by doc_id)
-select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
-  sha256(unhex(coalesce(kept, ''))) as kept_sha256
-from d left join done using (doc_id)"""
-
-
 def statements() -> dict[str, str]:
     return {
         "op2_url_rules": url_rules(),
         "op3_warc_revisits": warc_revisits(),
         "op4_ngram_join": ngram_join(),
-        "op13_suffix_dedup": suffix_dedup(),
     }
