@@ -3,7 +3,11 @@
 The pre-tokens of a block that were not counted before become one ragged array
 of symbols. In each round, every sequence finds its lowest-ranked pair and
 merges all its occurrences at once; sequences without a known pair are done.
-What survives is counted.
+What survives is counted. A round costs as much as the sequences are long, and
+a long one has many, so these keep the rank of each pair instead, by rank: a
+round takes the places of the lowest rank, in all of them, and looks up again
+only the pairs next to a merge. So a text without a space costs little more
+than one with many.
 
 Nulls count as empty texts (no tokens). Rows are counted alone, where they are
 read, so repeated rows, empty tables and further columns need no care.
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,8 @@ PRE_TOKEN = (
 NO_PAIR = np.iinfo(np.int64).max
 #: Pre-tokens whose counts a task keeps; beyond that it begins anew.
 KEPT = 400_000
+#: Bytes from which a pre-token keeps its ranks from round to round; such are not remembered.
+LONG = 128
 
 
 def byte_letters() -> list[str]:
@@ -53,6 +60,7 @@ class Merges:
         keys = left * self.width + right
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.made_at = made
         self.of_byte = np.array([ids[x] for x in byte_letters()], np.int64)
         self.special = [x["content"] for x in held.get("added_tokens", ())]
 
@@ -67,9 +75,24 @@ class Merges:
 def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
     """How many symbols each non-empty byte string has when no pair can be merged any more."""
     sizes = np.array([len(x) for x in pieces], np.int64)
-    out = sizes.copy()
     symbols = merges.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-    which = np.arange(len(pieces))
+    out, long = np.empty_like(sizes), sizes >= LONG
+    for count, some in ((_merge_short, ~long), (_merge_long, long)):
+        if some.any():
+            out[some] = count(symbols[np.repeat(some, sizes)], sizes[some], merges)
+    return out
+
+
+def _every_second(follows: np.ndarray) -> np.ndarray:
+    """Of occurrences that overlap, as in aaa, every second one from the left; ``follows`` tells which overlap the one before."""
+    begin = np.flatnonzero(~follows)
+    return (np.arange(len(follows)) - np.repeat(begin, np.diff(np.append(begin, len(follows))))) % 2 == 0
+
+
+def _merge_short(symbols: np.ndarray, sizes: np.ndarray, merges: Merges) -> np.ndarray:
+    """Sizes after all merges, each round looking up all pairs of the sequences that aren't done."""
+    out = sizes.copy()
+    which = np.arange(len(sizes))
     keep = sizes > 1
     symbols, which, sizes = symbols[np.repeat(keep, sizes)], which[keep], sizes[keep]
     while len(which):
@@ -80,11 +103,9 @@ def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
         rank = np.append(rank, NO_PAIR)
         best = np.minimum.reduceat(rank, ends - sizes)
         hit = np.flatnonzero((rank == best[seq]) & (rank != NO_PAIR))
-        # of occurrences that overlap, as in aaa, every second one from the left
-        run = np.ones(len(hit), bool)
-        run[1:] = hit[1:] != hit[:-1] + 1
-        begin = np.flatnonzero(run)
-        hit = hit[(np.arange(len(hit)) - np.repeat(begin, np.diff(np.append(begin, len(hit))))) % 2 == 0]
+        follows = np.zeros(len(hit), bool)
+        follows[1:] = hit[1:] == hit[:-1] + 1
+        hit = hit[_every_second(follows)]
         symbols[hit] = made[hit]
         left = np.ones(len(symbols), bool)
         left[hit + 1] = False
@@ -96,6 +117,56 @@ def count_symbols(pieces: list[bytes], merges: Merges) -> np.ndarray:
     return out
 
 
+def _merge_long(symbols: np.ndarray, sizes: np.ndarray, merges: Merges) -> np.ndarray:
+    """Sizes after all merges, each round touching only the places of the lowest rank and their neighbours.
+
+    Sequences don't meet, so all of them take the lowest rank of any at once.
+    """
+    ends = np.cumsum(sizes)
+    seq = np.repeat(np.arange(len(sizes)), sizes)
+    before, after = np.arange(-1, len(symbols) - 1), np.arange(1, len(symbols) + 1)
+    before[ends - sizes], after[ends - 1] = -1, -1
+    rank = np.full(len(symbols), NO_PAIR)
+    places: dict[int, list[np.ndarray]] = {}  # those that a rank had when it was looked up
+    waiting: list[int] = []
+
+    def look_up(at: np.ndarray) -> None:
+        at = at[after[at] >= 0]
+        found, _ = merges.find(symbols[at], symbols[after[at]])
+        rank[at] = found
+        order = np.argsort(found, kind="stable")[: np.count_nonzero(found != NO_PAIR)]
+        at, found = at[order], found[order]
+        cuts = np.flatnonzero(np.diff(found, prepend=-1, append=NO_PAIR)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            r = int(found[a])
+            if r not in places:
+                places[r] = []
+                heappush(waiting, r)
+            places[r].append(at[a:b])
+
+    look_up(np.arange(len(symbols)))
+    while waiting:
+        lowest = heappop(waiting)
+        held = places.pop(lowest)
+        hit = np.unique(np.concatenate(held)) if len(held) > 1 else held[0]
+        hit = hit[rank[hit] == lowest]  # others have merged since
+        if not len(hit):
+            continue
+        follows = np.zeros(len(hit), bool)
+        follows[1:] = after[hit[:-1]] == hit[1:]
+        hit = hit[_every_second(follows)]
+        gone = after[hit]
+        symbols[hit] = merges.made_at[lowest]
+        rank[gone] = rank[hit] = NO_PAIR
+        sizes = sizes - np.bincount(seq[hit], minlength=len(sizes))
+        beyond = after[gone]
+        after[hit] = beyond
+        before[beyond[beyond >= 0]] = hit[beyond >= 0]
+        ahead = before[hit]
+        look_up(np.union1d(hit, ahead[ahead >= 0]))
+    return sizes
+
+
 class Counter:
     """Counts the tokens of texts; remembers the pre-tokens it has met."""
 
@@ -116,7 +187,11 @@ class Counter:
         new = list({x for pre, _ in found for x in pre if x not in self.known})
         if new:
             self.known.update(zip(new, count_symbols([x.encode() for x in new], self.merges).tolist(), strict=True))
-        return [sum(map(self.known.__getitem__, pre)) + special for pre, special in found]
+        counts = [sum(map(self.known.__getitem__, pre)) + special for pre, special in found]
+        for x in new:
+            if len(x) >= LONG:
+                del self.known[x]
+        return counts
 
 
 def groups(texts: list[str], chars: int) -> Iterator[list[str]]:

@@ -1,6 +1,9 @@
 """Operators on single texts, against plain Python."""
 
+import random
 import re
+import string
+import time
 import zlib
 
 import public_tokenizers
@@ -35,8 +38,6 @@ TEXTS = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\r
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=8))
 def test_counts_equal_the_library(counter, byte_library, texts):
-    # letters that one of the two Unicode versions doesn't know yet are split differently
-    texts = ["".join(c for c in x if ord(c) < 0x10000) for x in texts]
     assert counter.counts(texts) == [len(byte_library.encode(x, add_special_tokens=False).ids) for x in texts]
 
 
@@ -46,6 +47,23 @@ def test_overlapping_pairs_merge_from_the_left(counter, byte_library):
             assert counter.counts([letter * n]) == [len(byte_library.encode(letter * n).ids)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["ab", "aab ", "théèñ", "01", "漢字a", "=-"]), st.integers(1, 900), st.integers(0, 99)), min_size=1, max_size=4))
+def test_long_pre_tokens_equal_the_library(counter, byte_library, drawn):
+    texts = ["".join(random.Random(seed).choices(letters, k=n)) for letters, n, seed in drawn]
+    assert counter.counts(texts) == [len(byte_library.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_megabytes_without_a_space(counter, byte_library):
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(string.ascii_letters, k=1 << 20)), "a" * (1 << 20), "漢字" * (1 << 17)]
+    begin = time.process_time()
+    found = counter.counts(texts)
+    assert time.process_time() - begin < 60  # some seconds, where all pairs in each round took minutes
+    assert found == [len(byte_library.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert not any(len(x) >= bpe.LONG for x in counter.known)
+
+
 def test_token_counts(spark, odd, nothing):
     library = Tokenizer.from_file(BYTE_BPE)
     found = bpe.token_counts(clashing(odd), BYTE_BPE, limit=10).collect()
@@ -60,7 +78,6 @@ def test_token_counts(spark, odd, nothing):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(TEXTS, min_size=1, max_size=6))
 def test_word_ids_equal_the_library(texts):
-    texts = ["".join(c for c in x if ord(c) < 0x10000) for x in texts]
     library = Tokenizer.from_file(WORD_BPE) if not hasattr(test_word_ids_equal_the_library, "t") else test_word_ids_equal_the_library.t
     test_word_ids_equal_the_library.t = library
     found = [x.tolist() for x in packing.WordIds(WORD_BPE).texts(pa.array(texts))]
