@@ -14,9 +14,10 @@ symbols, times these shares, is the exact likelihood of the text.
 Word counts are summed by Spark over all training texts; the table of all
 words stays distributed, only its most frequent ones, a fixed number, are sent
 to the tasks. Words beyond these meet their counts in a join. Since they are
-none of the most frequent, no such key is hot. Parameters begin from
-a bounded sample of training texts (``sample``), and each further iteration
-adds up expected counts over all training texts in all partitions.
+none of the most frequent, no such key is hot. Emissions begin from the exact
+counts of all symbols over all training texts, and every iteration adds up
+expected counts over all training texts in all partitions; no step works on a
+sample. Iterations end when the likelihood settles, or at a most.
 
 Null and empty texts have the end token only. A row with a null key is a
 training text. Rows that repeat are texts of their own. Without any training
@@ -43,7 +44,6 @@ from adjrank.session import scratch_path
 FOLDS, HELD_OUT = 5, 1
 #: The hash of the end token, which no word has but by chance.
 END = 0x5EED
-DRAWS = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -54,17 +54,20 @@ class Settings:
     symbols     most frequent words that are symbols of their own
     known       most frequent words whose counts every task holds
     classes     classes of the other words
-    iterations  Baum-Welch iterations over all training texts
-    sample      training texts that the parameters begin from, and iterations on these
+    iterations  Baum-Welch iterations over all training texts, at most
+    settled     gain of the mean log likelihood of a token, in nats, below which there is no further iteration
     """
 
     states: int = 6
     symbols: int = 8192
     known: int = 65536
     classes: int = 1024
-    iterations: int = 3
-    sample: int = 400
-    sample_iterations: int = 20
+    iterations: int = 8
+    settled: float = 0.002
+
+    def __post_init__(self):
+        if self.symbols + self.classes + 1 > 1 << 16:
+            raise ValueError("symbols, classes and the end have to fit 16 bits")
 
 
 def word_classes(block: Block, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray, classes: int) -> np.ndarray:
@@ -120,6 +123,14 @@ class Vocabulary:
     def size(self) -> int:
         return self.settings.symbols + self.settings.classes + 1
 
+    def seen(self, end_count: int) -> np.ndarray:
+        """How often each symbol is in the training texts."""
+        out = np.zeros(self.size)
+        own = self.symbol >= 0
+        out[self.symbol[own]] = self.counts[own]
+        out[self.settings.symbols : -1], out[-1] = self.class_tokens, end_count
+        return out
+
     def share_divisors(self) -> np.ndarray:
         """log10 of what a class's shares are divided by."""
         return np.log10(self.class_tokens + 0.5 * (self.class_words + 1))
@@ -244,10 +255,10 @@ class Model:
                 keep.append((symbols, alpha, scale))
         return out
 
-    def expected(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of starts, moves and emissions over some texts (sorted, the longest first)."""
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, float]:
+        """Expected counts of starts, moves and emissions over some texts (sorted, the longest first), and their log likelihood."""
         steps: list = []
-        self.forward(texts, steps)
+        likelihood = self.forward(texts, steps).sum()
         states = len(self.start)
         moves, gammas = np.zeros((states, states)), [None] * len(steps)
         beta = np.empty((0, states))
@@ -263,7 +274,7 @@ class Model:
             gammas[t] = alpha * beta
         gamma, symbols = np.concatenate(gammas), np.concatenate([s for s, _, _ in steps])
         emit = np.stack([np.bincount(symbols, weights=gamma[:, k], minlength=len(self.emit)) for k in range(states)], 1)
-        return np.concatenate([gammas[0].sum(0), (moves * self.move).ravel(), emit.ravel()])
+        return np.concatenate([gammas[0].sum(0), (moves * self.move).ravel(), emit.ravel()]), likelihood
 
 
 def _groups(batch: pa.RecordBatch, tokens: int = 400_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -281,34 +292,32 @@ def _groups(batch: pa.RecordBatch, tokens: int = 400_000) -> Iterator[tuple[np.n
         yield np.array(held), [texts[j] for j in held]
 
 
-def train(encoded: DataFrame, symbols: int, settings: Settings) -> Model:
-    """Baum-Welch: first on the sample, then ``iterations`` times over all training texts."""
-    spark, states = encoded.sparkSession, settings.states
-    learning = encoded.where("not held_out")
-    draw = F.pmod(F.xxhash64("key", "n_tokens"), F.lit(DRAWS))
-    share = min(1.0, 2 * settings.sample / max(1, learning.count()))  # so few rows are ever sorted for the sample
-    some = learning.where(draw < int(share * DRAWS)).orderBy(draw, "key").limit(settings.sample).select("symbols").collect()
+def train(encoded: DataFrame, seen: np.ndarray, settings: Settings) -> tuple[Model, list[float]]:
+    """Baum-Welch over all training texts, and the mean log likelihood of a token before each iteration."""
+    spark, states, symbols = encoded.sparkSession, settings.states, len(seen)
+    learning = encoded.where("not held_out").select("symbols")
     size = states + states * states + symbols * states
-    texts = sorted((np.frombuffer(x["symbols"], np.uint16).astype(np.int64) for x in some), key=len, reverse=True)
-    seen = np.bincount(np.concatenate(texts), minlength=symbols) if texts else np.zeros(symbols)
-    model = Model.first(symbols, states, seen)
-    for _ in range(settings.sample_iterations if texts else 0):
-        model = Model.of_counts(model.expected(texts), symbols, states)
-
-    for _ in range(settings.iterations if texts else 0):
+    model, likelihoods = Model.first(symbols, states, seen), []
+    for _ in range(settings.iterations if seen.any() else 0):
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros(size)
+            cells = np.zeros(size + 1)
             for batch in batches:
                 for _, group in _groups(batch):
-                    cells += sent.value.expected(group)
+                    counts, likelihood = sent.value.expected(group)
+                    cells[:-1] += counts
+                    cells[-1] += likelihood
             if cells.any():
                 yield slices(cells)
 
-        model = Model.of_counts(summed(learning.select("symbols").mapInArrow(run, SCHEMA), size, np.float64), symbols, states)
+        cells = summed(learning.mapInArrow(run, SCHEMA), size + 1, np.float64)
         sent.unpersist()
-    return model
+        model = Model.of_counts(cells[:-1], symbols, states)
+        likelihoods.append(cells[-1] / seen.sum())
+        if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < settings.settled:
+            break
+    return model, likelihoods
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -329,7 +338,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Se
     path = scratch_path(spark, "symbols")
     encode(rows, sent, end_count).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     encoded = spark.read.parquet(path)
-    model = spark.sparkContext.broadcast(train(encoded, words.size, settings))
+    model = spark.sparkContext.broadcast(train(encoded, words.seen(end_count), settings)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

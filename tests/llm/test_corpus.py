@@ -2,12 +2,14 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import clashing, documents
 
@@ -361,7 +363,7 @@ def test_mixed_documents(spark, some, nothing):
 
 # --- language model ------------------------------------------------------------
 
-SMALL = hmm.Settings(states=3, symbols=200, known=400, classes=32, iterations=2, sample=40, sample_iterations=6)
+SMALL = hmm.Settings(states=3, symbols=200, known=400, classes=32, iterations=6)
 
 
 def test_base_scores(spark, some, odd, nothing):
@@ -395,7 +397,8 @@ def test_forward_is_exact_and_training_climbs():
                 model.start[p[0]] * np.prod(model.emit[text, p]) * np.prod(model.move[p[:-1], p[1:]]) for p in paths
             )
             assert found == pytest.approx(math.log(total))
-        counts = model.expected(texts)
+        counts, summed = model.expected(texts)
+        assert summed == pytest.approx(likelihood.sum())
         assert counts[:3].sum() == pytest.approx(len(texts)) and counts[12:].sum() == pytest.approx(sum(map(len, texts)))
         start, move, emit = np.split(counts, [3, 12])
         move, emit = move.reshape(3, 3) + 1e-12, emit.reshape(5, 3) + 1e-12
@@ -403,6 +406,55 @@ def test_forward_is_exact_and_training_climbs():
         assert model.forward(texts).sum() >= likelihood.sum() - 1e-9
 
 
+def test_training_reads_all_texts_and_settles(spark):
+    """The last model is that of plain Baum-Welch over all texts, whatever partitions they are in."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 3, n) + 3 * int(rng.integers(2)) for n in rng.integers(1, 30, 300)]
+    rows = [(bytearray(x.astype(np.uint16).tobytes()), False) for x in texts] + [(bytearray(np.full(9, 1, np.uint16).tobytes()), True)]
+    encoded = spark.createDataFrame(rows, "symbols binary, held_out boolean").repartition(5)
+    seen = np.bincount(np.concatenate(texts), minlength=6)
+    found, likelihoods = hmm.train(encoded, seen, hmm.Settings(states=2, symbols=4, classes=1, iterations=40, settled=1e-4))
+    assert np.all(np.diff(likelihoods) > -1e-3) and 2 < len(likelihoods) < 40
+    model, ordered = hmm.Model.first(6, 2, seen), sorted(texts, key=len, reverse=True)
+    for mean in likelihoods:
+        counts, total = model.expected(ordered)
+        assert total / seen.sum() == pytest.approx(mean)
+        model = hmm.Model.of_counts(counts, 6, 2)
+    assert found.emit == pytest.approx(model.emit) and found.move == pytest.approx(model.move)
+
+
+def test_whole_scores_by_enumeration(spark):
+    """The score of ``score`` equals the sum over all state paths times the words' shares of their symbols."""
+    size = hmm.Settings(states=2, symbols=3, known=4, classes=2, iterations=3)
+    rows = [(i, x) for i, x in enumerate(["a b a", "b c dd", "", "a ee ff", "a", "zz a", "b b c gg", "c ee a", "new a"])]
+    docs = documents(spark, rows)
+    found = {r.doc_id: r.score for r in hmm.score(docs, settings=size).collect()}
+    coded = docs.selectExpr("doc_id key", "text", "crc32(cast(cast(doc_id as string) as binary)) % 5 = 1 held_out")
+    counts = spark.createDataFrame(hmm.count_words(coded, size.classes).collect())
+    vocabulary, end = hmm.vocabulary(counts, size)
+    encoded = spark.createDataFrame(hmm.encode(coded, spark.sparkContext.broadcast(vocabulary), end).collect())
+    model, _ = hmm.train(encoded, vocabulary.seen(end), size)
+    times = {r.word: r.n for r in counts.collect()}
+    own = {h: s for h, s in zip(vocabulary.hashes.view(np.int64).tolist(), vocabulary.symbol.tolist(), strict=True) if s >= 0}
+    weights = byte_weights(True)
+    for i, text in rows:
+        symbols, share = [], 1.0
+        for block in blocks(pa.array([text])):
+            starts, ends = block.words()
+            for h, kind in zip(block.hashes(starts, ends, weights).view(np.int64).tolist(), hmm.word_classes(block, starts, ends, weights, 2), strict=True):
+                symbols.append(own.get(h, 3 + int(kind)))
+                if h not in own:
+                    share *= (times.get(h, 0) + 0.5) / (vocabulary.class_tokens[kind] + 0.5 * (vocabulary.class_words[kind] + 1))
+        symbols.append(5)
+        total = 0.0
+        for path in itertools.product(range(2), repeat=len(symbols)):
+            p = model.start[path[0]] * model.emit[symbols[0], path[0]]
+            for before, now, symbol in zip(path[:-1], path[1:], symbols[1:], strict=True):
+                p *= model.move[before, now] * model.emit[symbol, now]
+            total += p
+        assert found[i] == pytest.approx(math.log10(total * share), abs=1e-9)
+
+
 def test_shares_of_a_class_and_its_unknown_words_sum_to_one(spark, some):
     rows = some.selectExpr("doc_id key", "text", "false held_out")
     counts = hmm.count_words(rows, SMALL.classes).collect()
