@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjrank.functions.blocks import integer_div, range_of
 from adjrank.operators.position import global_index
-from adjrank.operators.skew import group_sizes, split_heavy
+from adjrank.operators.skew import GroupSizes, group_sizes, split_heavy
 from adjrank.session import DEFAULT_LIMITS, Limits, cut
 
 
@@ -33,20 +33,24 @@ def edges_to_adjacency(edges: DataFrame, limits: Limits = DEFAULT_LIMITS, total:
     edges are put in order by a range sort and cut into segments by position.
     """
     edges = edges.select("src", "dst")
-    sizes = group_sizes(edges, "src", limits, total)
+    return _gather(edges, group_sizes(edges, "src", limits, total), limits)
+
+
+def _gather(edges: DataFrame, sizes: GroupSizes, limits: Limits) -> DataFrame:
+    """Rows of the edges, given the sizes of their groups; a null ``dst`` makes a row, but no link."""
     light = edges
     if sizes.heavy is not None:
         light, many = split_heavy(edges, "src", sizes.heavy)
     rows = light.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("dst"))
     if sizes.largest > limits.max_links:
-        starts = F.sequence(F.lit(1), F.size("dst"), F.lit(limits.max_links))
+        starts = F.sequence(F.lit(1), F.greatest(F.size("dst"), F.lit(1)), F.lit(limits.max_links))
         pieces = F.transform(starts, lambda at: F.slice("dst", at, F.lit(limits.max_links)))
         rows = rows.select("src", F.posexplode(pieces).alias("segment", "dst"))
     else:
         rows = rows.withColumn("segment", F.lit(0))
     rows = rows.select("src", F.col("segment").cast("bigint").alias("segment"), "dst")
     if sizes.heavy is not None:
-        rows = rows.unionByName(_segments(many, limits.max_links))
+        rows = rows.unionByName(_segments(many.where("dst is not null"), limits.max_links))
     return rows
 
 
@@ -75,7 +79,7 @@ def split_rows(adj: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
 
 
 def merge_segments(adj: DataFrame) -> DataFrame:
-    """One row per vertex again, its segments in order; for formats that have one line per vertex.
+    """One row per vertex again, its segments in order, gathered; writers of text do without.
 
     Only vertices with several rows are shuffled, and none where there are none.
     """
@@ -122,18 +126,14 @@ def ranked_from_decoded(
 
     Vertices without a link get an empty row; the rank is 1.0 and ``split`` the
     contiguous vertex range the row belongs to. Edges that start outside of the
-    range are an error.
+    range are an error, found by the pass that counts; ``edges`` is read twice.
     """
-    outside = edges.agg(F.count_if(~F.col("src").between(0, n_vertices - 1))).first()[0]
-    if outside:
-        raise ValueError(f"{outside} edges start outside of the {n_vertices} vertices")
-    linked = edges_to_adjacency(edges, limits)
-    unlinked = (
-        edges.sparkSession.range(n_vertices)
-        .select(F.col("id").alias("src"))
-        .join(edges.select("src").distinct(), "src", "left_anti")
-        .select("src", F.lit(0).cast("bigint").alias("segment"), F.array().cast("array<bigint>").alias("dst"))
-    )
-    return attach_rank(linked.unionByName(unlinked)).withColumn(
-        "split", range_of(F.col("src"), n_vertices, n_splits)
-    )
+    spark = edges.sparkSession
+    ids = spark.range(n_vertices).select(F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst"))
+    # A link to nowhere gives every vertex its row; lists leave it out.
+    linked = edges.select("src", "dst").where("dst is not null").unionByName(ids)
+    outside = ~F.col("src").between(0, n_vertices - 1)
+    sizes = group_sizes(linked, "src", limits, facts=[F.sum(F.when(outside, F.col("n"))).alias("outside")])
+    if sizes.facts["outside"]:
+        raise ValueError(f"{sizes.facts['outside']} edges start outside of the {n_vertices} vertices")
+    return attach_rank(_gather(linked, sizes, limits)).withColumn("split", range_of(F.col("src"), n_vertices, n_splits))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adjrank.functions.parse import adjacency_line, parse_lines
-from adjrank.operators.convert import merge_segments
+from adjrank.session import cut, shuffle_partitions
 
 MODES = ("DROPMALFORMED", "FAILFAST", "PERMISSIVE")
 
@@ -64,16 +64,65 @@ def read_rank_vector(spark: SparkSession, path) -> DataFrame:
 
 
 def write_adjacency(adj: DataFrame, path: str, mode: str = "error") -> None:
-    """One line ``src n d1 ... dn`` per vertex; segments are put together."""
-    adj = merge_segments(adj)
-    adj.select(adjacency_line(F.col("src"), F.col("dst")).alias("value")).write.mode(mode).text(path)
+    """One line ``src n d1 ... dn`` per vertex; segments are put together, see :func:`write_ranked_adjacency`."""
+    _write_lines(adj.drop("rank"), path, mode)
 
 
 def write_ranked_adjacency(ranked: DataFrame, path: str, mode: str = "error") -> None:
-    """One line ``src n d1 ... dn rank`` per vertex; segments are put together."""
-    ranked = merge_segments(ranked)
-    line = adjacency_line(F.col("src"), F.col("dst"), F.col("rank"))
-    ranked.select(line.alias("value")).write.mode(mode).text(path)
+    """One line ``src n d1 ... dn rank`` per vertex; segments are put together.
+
+    Vertices with one row are written where they are. The others' rows are
+    sorted by segment within their partition and streamed out one by one, in
+    files of their own, so no task holds the list of a vertex. The last line of
+    such a file ends with a space instead of a line break. These files are
+    added by a second job, so ``mode`` decides about ``path`` in the first.
+    """
+    _write_lines(ranked, path, mode)
+
+
+def _write_lines(adj: DataFrame, path: str, mode: str) -> None:
+    rank = F.col("rank") if "rank" in adj.columns else None
+    line = adjacency_line(F.col("src"), F.col("dst"), rank).alias("value")
+    several = cut(adj.where("segment > 0").select("src").distinct()) if "segment" in adj.columns else None
+    if several is None or several.isEmpty():
+        adj.select(line).write.mode(mode).text(path)
+        return
+    adj.join(several, "src", "left_anti").select(line).write.mode(mode).text(path)
+    split = adj.join(several, "src", "left_semi")
+    _line_pieces(split).write.mode("append").options(lineSep=" ", maxRecordsPerFile=0).text(path)
+
+
+def _line_pieces(split: DataFrame) -> DataFrame:
+    """The lines of vertices with several rows, a piece for each row, in order; pieces of a partition are joined by spaces.
+
+    A vertex's last row ends its line and has the beginning of the next one, so that no piece begins with a line break.
+    """
+    ranked = "rank" in split.columns
+    parts = shuffle_partitions(split.sparkSession)
+    linked = F.when(F.size("dst") > 0, F.col("segment"))
+    sizes = split.groupBy("src").agg(
+        F.sum(F.size("dst")).alias("n"),
+        F.coalesce(F.min(linked), F.max("segment")).alias("start"),
+        F.coalesce(F.max(linked), F.max("segment")).alias("last"),
+    )
+    order = Window.partitionBy("part").orderBy("src")
+    begin = F.concat_ws(" ", "src", "n")
+    lines = sizes.withColumn("part", F.pmod(F.hash("src"), F.lit(parts))).select(
+        "src", "part", "start", "last", F.lead(begin).over(order).alias("ahead"), F.when(F.lag("src").over(order).isNull(), begin).alias("own")
+    )
+    # one partition for each part, so that a file begins with a part's first line
+    pieces = (
+        split.join(lines, "src")
+        .where((F.size("dst") > 0) | (F.col("segment") == F.col("last")))
+        .repartitionById(parts, F.col("part"))
+        .sortWithinPartitions("src", "segment")
+    )
+    fields = [F.when(F.col("segment") == F.col("start"), F.col("own")), F.when(F.size("dst") > 0, F.array_join("dst", " "))]
+    is_last = F.col("segment") == F.col("last")
+    if "rank" in split.columns:
+        fields.append(F.when(is_last, F.col("rank").cast("string")))
+    end = F.when(is_last & F.col("ahead").isNotNull(), F.concat(F.lit("\n"), "ahead")).otherwise("")
+    return pieces.select(F.concat(F.concat_ws(" ", *fields), end).alias("value"))
 
 
 def _write_tabbed(df: DataFrame, columns: tuple[str, str], path: str, mode: str) -> None:

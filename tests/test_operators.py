@@ -101,6 +101,22 @@ def test_decoded_graph(spark):
     ]
 
 
+@pytest.mark.parametrize("limits", [Limits(), TIGHT, Limits(max_links=2, broadcast_rows=3)])
+def test_decoded_graph_in_two_reads(spark, limits):
+    """Long lists, vertices without links and edges outside, all found by one counting pass."""
+    links = [(3, i % 17) for i in range(60)] + [(9, 1), (9, 0), (11, 4)]
+    edges = spark.createDataFrame(links, "src bigint, dst bigint")
+    found = {}
+    for src, segment, dst, rank, split in rows(ranked_from_decoded(edges, 20, 4, limits)):
+        assert rank == 1.0 and split == src // 5 and segment == len(found.get(src, [])) // limits.max_links
+        found[src] = found.get(src, []) + dst
+    assert found == {src: sorted(d for s, d in links if s == src) for src in range(20)}
+    with pytest.raises(ValueError, match="2 edges"):
+        ranked_from_decoded(edges.unionByName(edges.where("src = 11")), 11, 4, limits)
+    assert rows(ranked_from_decoded(edges.limit(0), 2, 1, limits)) == [(0, 0, [], 1.0, 0), (1, 0, [], 1.0, 0)]
+    assert rows(ranked_from_decoded(edges.limit(0), 0, 1, limits)) == []
+
+
 def test_blocks(spark, g7):
     assert rows(assign_blocks(g7, 2).select("src", "block_id")) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (6, 3)]
     by_position = assign_blocks(g7, 2, by="position", co_locate=True)

@@ -16,6 +16,7 @@ from adjrank import (
     write_ranked_adjacency,
 )
 from adjrank.functions import block_of
+from adjrank.sources import text
 
 GOOD = {
     "1 3 5 6 7 0.5": (1, [5, 6, 7], 0.5),
@@ -101,6 +102,33 @@ def test_text_round_trips(spark, g7, tmp_path):
     assert rows(read_adjacency(spark, plain)) == rows(g7.select("src", "dst"))
 
 
+def test_lines_of_split_vertices_are_streamed(spark, tmp_path):
+    lists = {1: [5, 6, 7, 8, 9], 2: [1], 3: [], 4: list(range(100, 140)), 6: [7, 7, 8], **{i: [i, i + 1, i + 2] for i in range(20, 60)}}
+    rows_ = [
+        (src, segment, dst[2 * segment : 2 * segment + 2], src / 4)
+        for src, dst in lists.items()
+        for segment in range(max(1, -(-len(dst) // 2)))
+    ]
+    rows_ += [(70, 0, [], 1.0), (70, 1, [3], 1.0), (70, 2, [], 1.0), (71, 3, [], 2.0), (71, 5, [], 2.0)]
+    lists |= {70: [3], 71: []}
+    graph = spark.createDataFrame(rows_, "src bigint, segment bigint, dst array<bigint>, rank double").repartition(7)
+    pieces = text._line_pieces(graph.where("src != 2"))
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    path, plain = str(tmp_path / "lines"), str(tmp_path / "plain")
+    write_ranked_adjacency(graph, path)
+    rank = {src: value for src, _, _, value in rows_}
+    expected = sorted(" ".join(map(str, [src, len(dst), *dst, rank[src]])) for src, dst in lists.items())
+    assert sorted(r[0].rstrip(" ") for r in spark.read.text(path).collect()) == expected
+    assert rows(read_ranked_adjacency(spark, path)) == sorted(((src, dst, rank[src]) for src, dst in lists.items()), key=str)
+    write_adjacency(graph, plain)
+    assert rows(read_adjacency(spark, plain)) == sorted(((src, dst) for src, dst in lists.items()), key=str)
+    with pytest.raises(PySparkException):
+        write_ranked_adjacency(graph, path)
+    write_ranked_adjacency(graph, path, mode="overwrite")
+    assert read_ranked_adjacency(spark, path).count() == len(lists)
+
+
 def test_tabbed_sinks(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2), (3, 4)], "src bigint, dst bigint")
     write_edges(edges, str(tmp_path / "e"))
