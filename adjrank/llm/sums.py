@@ -76,7 +76,7 @@ def summed_counts(partial: DataFrame, size: int, most: int) -> np.ndarray:
 def summed(partial: DataFrame, size: int, kind: type) -> np.ndarray:
     """The sum of the arrays (of ``size`` and ``kind``) that tasks gave to :func:`slices`.
 
-    A slice's parts are added one by one where they meet; the driver gets one array.
+    A slice's parts are added one by one where they meet; the driver gets one array, in one job.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +90,6 @@ def summed(partial: DataFrame, size: int, kind: type) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(columns, ["at", "cells"])
 
     out = np.zeros(size, kind)
-    for row in partial.repartition(-(-size // SLICE), "at").mapInArrow(add, SCHEMA).toLocalIterator():
+    for row in partial.repartition(-(-size // SLICE), "at").mapInArrow(add, SCHEMA).collect():
         out[row["at"] * SLICE : (row["at"] + 1) * SLICE] = np.frombuffer(row["cells"], kind)
     return out
