@@ -61,3 +61,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         further = placed.select(F.col("at").alias("to"), F.col("to").alias("further"))
         placed = stored(moves.join(further, "to", "left").select("at", F.coalesce("further", "to").alias("to")), "placed")
     return placed.select(F.col("at").alias("node"), F.col("to").alias("component"))
+
+
+def extended(joined: DataFrame, edges: DataFrame) -> DataFrame:
+    """``joined``, the components of some edges, when more ``edges`` are added; only their ends' components are worked on."""
+    for end in ("a", "b"):
+        placed = joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        edges = edges.join(placed, end, "left").withColumn(end, F.coalesce(f"{end}_in", end)).drop(f"{end}_in")
+    more = connected_components(edges).withColumnRenamed("component", "further")
+    held = joined.join(more.withColumnRenamed("node", "component"), "component", "left")
+    held = held.select("node", F.coalesce("further", "component").alias("component"))
+    new = more.join(joined, "node", "left_anti").select("node", F.col("further").alias("component"))
+    return stored(held.unionByName(new), "joined")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjrank.operators import global_index
-from adjrank.session import cut, scratch_path
+from adjrank.session import cut, scratch_path, stored
 
 #: Fixed by the contract: weights of the sources in their order, and the size of the mix.
 WEIGHTS = (3, 1, 2)
@@ -184,7 +184,7 @@ class Mix:
         sums = sums.withColumns({"over": F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), "lack": F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))})
         sums = running(sums.withColumn("all", F.lit(0)), "all", "place", [], "over", self.number, "over_low")
         sums = cut(running(sums, "all", "place", [], "lack", self.number, "low").withColumn("high", F.col("low") + F.col("lack")))
-        numbered = numbered.join(bounded(sums.select("place", "slots", "blocks", "over_low"), self.number), "place")
+        numbered = stored(numbered.join(bounded(sums.select("place", "slots", "blocks", "over_low"), self.number), "place"), "numbered")
         kept = numbered.where("number < slots").select("slot", "shard", "place", "number", "blocks")
         moved = numbered.where("number >= slots").select("slot", "shard", (F.col("over_low") + F.col("number") - F.col("slots")).alias("ticket"))
         moved = holders(moved, sums.select("low", "high", F.col("place"), F.col("blocks"), F.col("drawn")), max(1, self.total), ["place", "blocks", "drawn"])
@@ -228,7 +228,7 @@ class Mix:
             F.array_sort(F.collect_list(part)).alias("parts"), F.sum("words").alias("held")
         )
         plan = parts.join(self.rows.where("size > 0").select("place", "start", "size", "spot"), ["place", "start"])
-        plan = plan.select("spot", "parts", (F.col("held") == F.col("size")).alias("whole"))
+        plan = stored(plan.select("spot", "parts", (F.col("held") == F.col("size")).alias("whole")), "plan")
         # rows with the same hash are equal, so any of them has the text of all
         texts = docs.select(spot(docs.columns).alias("spot"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
         found = texts.dropDuplicates(["spot"]).join(plan, "spot")

@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from adjrank.llm.components import connected_components
+from adjrank.llm.components import connected_components, extended
 from adjrank.llm.sums import SCHEMA, count_slices, summed_counts
 from adjrank.llm.tables import Scratch
 from adjrank.llm.words import blocks, byte_weights, free_worker, mix, repeats, shingles, total
-from adjrank.session import cut
+from adjrank.session import stored
 
 #: Sketch cells: at least so many for each document, between the two bounds (powers of two).
 CELLS_A_DOCUMENT, LEAST_BITS, MOST_BITS = 8, 16, 24
@@ -194,7 +194,7 @@ def _texts(docs: DataFrame, key: str, text: str, like: Likeness, wanted: DataFra
 def _checked(docs, key, text, like, classes, pairs, scratch) -> DataFrame:
     """The candidate pairs that link, by their texts, which are dropped when that is known."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(classes.join(nodes, "node", "left_semi").select("node", "label"))
+    wanted = scratch.store(classes.join(nodes, "node", "left_semi").select("node", "label"), "wanted")
     if wanted.count() <= FEW:
         wanted = F.broadcast(wanted)
     held = scratch.store(_texts(docs, key, text, like, wanted), "texts")
@@ -206,11 +206,11 @@ def _checked(docs, key, text, like, classes, pairs, scratch) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()):  # noqa: B008
-    """Rows with their class, and links between classes that join all that are alike.
+    """Rows with their class, and the component of each class that is like another.
 
     Returns ``key``, ``node``, ``n`` for every row (``n`` 0: no shingles, no
-    class), and links ``a``, ``b``. Classes that can reach each other by
-    likeness are those that the links connect.
+    class), and ``node``, ``component``. Classes that can reach each other by
+    likeness are those of one component.
     """
     spark = docs.sparkSession
     wanted = CELLS_A_DOCUMENT * max(1, docs.count())
@@ -228,16 +228,20 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     stars = scratch.store(_stars(entries), "stars")
     links = _checked(docs, key, text, like, classes, stars, scratch)
     # again with other central classes, for those that are not like the first ones
-    unjoined = scratch.store(_unjoined(entries, connected_components(links), like), "unjoined")
+    joined = connected_components(links)
+    unjoined = scratch.store(_unjoined(entries, joined, like), "unjoined")
     scratch.empty("entries")
     again = scratch.store(_other_stars(unjoined), "again")
     if not again.isEmpty():
-        links = scratch.store(links.unionByName(_checked(docs, key, text, like, classes, again, scratch)), "links")
+        joined = extended(joined, _checked(docs, key, text, like, classes, again, scratch))
     # what has fallen away stays away when more is joined
-    pairs = scratch.store(_product(_unjoined(unjoined.drop("component"), connected_components(links), like), like), "pairs")
+    left = scratch.store(_unjoined(unjoined.drop("component"), joined, like), "left")
+    scratch.empty("unjoined")
+    pairs = scratch.store(_product(left, like), "pairs")
+    scratch.empty("left")
     if not pairs.isEmpty():
-        links = links.unionByName(_checked(docs, key, text, like, classes, pairs, scratch))
-    return rows, links
+        joined = extended(joined, _checked(docs, key, text, like, classes, pairs, scratch))
+    return rows, joined
 
 
 def _entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -316,8 +320,7 @@ def _product(placed: DataFrame, like: Likeness) -> DataFrame:
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", like: Likeness = Likeness()) -> DataFrame:  # noqa: B008
     """``key``, ``n_shingles`` and ``component_id`` (the smallest key that links reach) for every row."""
-    rows, links = similar_classes(docs, key, text, like)
-    joined = connected_components(links)
+    rows, joined = similar_classes(docs, key, text, like)
     placed = rows.where("n > 0").join(joined, "node", "left").select("key", "n", F.coalesce("component", "node").alias("c"))
     placed = placed.select("key", "n", "c")
     least = placed.groupBy("c").agg(F.min("key").alias("component_id"), F.count("*").alias("size"))
@@ -333,12 +336,11 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
     Rows that repeat a key and its shingle set are one group, of which one row stays.
     """
-    rows, links = similar_classes(docs, key, text, like)
-    joined = connected_components(links)
+    rows, joined = similar_classes(docs, key, text, like)
     placed = rows.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = placed.groupBy("c").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1")
     kept = placed.join(least, "c", "left").where("n = 0 or size is null or key <=> least").groupBy("key", "node").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
-    kept = cut(kept)
+    kept = stored(kept, "kept")
     wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     found = wide.join(kept, F.col(f"doc.`{key}`").eqNullSafe(F.col("key"))).select("node", F.col(f"doc.`{text}`").alias("text"), "n", "doc")
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from adjrank.session import stored
+
 #: Numbers that are added up in one place.
 SLICE = 1 << 16
 SCHEMA = "at int, cells binary"
@@ -68,7 +70,9 @@ def summed_counts(partial: DataFrame, size: int, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(cells, most).astype(kind).tobytes()])], ["at", "cells"])
 
     out = np.zeros(size, kind)
-    for row in partial.repartition(-(-size // SLICE), "at").mapInArrow(add, SCHEMA).toLocalIterator():
+    # stored first: sums are made by all tasks at once, and the driver reads a file's worth after the other, not a job for each slice
+    sums = stored(partial.repartition(-(-size // SLICE), "at").mapInArrow(add, SCHEMA), "sums")
+    for row in sums.toLocalIterator():
         out[row["at"] * SLICE : (row["at"] + 1) * SLICE] = np.frombuffer(row["cells"], kind)
     return out
 

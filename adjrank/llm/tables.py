@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from adjrank.session import scratch_path
+from adjrank.session import reread, scratch_path
 
 #: Parts of a stored table, at most (Spark's own limit).
 MOST_PARTS = 100_000
@@ -30,11 +30,10 @@ class Scratch:
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
-        self.paths[name] = path
-        return self.spark.read.parquet(path)
+        self.paths[name] = path, df.schema
+        return reread(df, path)
 
     def empty(self, name: str) -> None:
         """Free the table's space; nothing that is still to be computed may read it."""
-        path = self.paths.pop(name)
-        nothing = self.spark.createDataFrame([], self.spark.read.parquet(path).schema)
-        nothing.write.mode("overwrite").parquet(path)
+        path, schema = self.paths.pop(name)
+        self.spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)

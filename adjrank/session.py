@@ -82,7 +82,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the checkpoint folder as Parquet and read again, so that readers get only their columns."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return reread(df, path)
+
+
+def reread(df: DataFrame, path: str) -> DataFrame:
+    """What was written of ``df``; its columns are known, so no job has to look for them."""
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored_in_buckets(df: DataFrame, name: str, parts: int, by: str, order: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ import pytest
 from llm_cases import clashing, documents
 
 from adjrank.llm import hmm, mixing, ngram_join, spotsigs, sums, toxicity, url_rules, warc
-from adjrank.llm.components import connected_components, contract
+from adjrank.llm.components import connected_components, contract, extended
 from adjrank.llm.words import blocks, byte_weights
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -123,6 +123,34 @@ def test_connected_components(spark):
     assert found == {x: groups.find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_components_extended_by_further_edges(spark):
+    rng = np.random.default_rng(4)
+    first = [(int(a), int(b)) for a, b in rng.integers(100, 400, (150, 2))]
+    # between components, within one, to new and to smaller nodes, a loop and a null
+    more = [(int(a), int(b)) for a, b in rng.integers(0, 500, (60, 2))] + [first[0], (7, 7), (None, 3), (900, 901)]
+    groups = Groups()
+    for a, b in [*first, *((a, b) for a, b in more if a is not None)]:
+        groups.join(a, b)
+    kind = "a bigint, b bigint"
+    for known, added in ((first, more), ([], first + more), (first + more, [])):
+        joined = extended(connected_components(spark.createDataFrame(known, kind)), spark.createDataFrame(added, kind))
+        found = [(r.node, r.component) for r in joined.collect()]
+        assert sorted(found) == sorted({(x, groups.find(x)) for a, b in [*first, *more] if a is not None and a != b for x in (a, b)})
+
+
+def test_sums_take_no_job_for_each_slice(spark):
+    counts = np.arange(40 * sums.SLICE, dtype=np.uint32)
+    rows = sums.count_slices(counts).to_pylist() * 2
+    partial = spark.createDataFrame([(r["at"], bytearray(r["cells"])) for r in rows], sums.SCHEMA)
+    spark.sparkContext.setJobGroup("slices", "sums")
+    try:
+        assert (sums.summed_counts(partial, len(counts), 2**32 - 1) == 2 * counts).all()
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("slices"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 20
+
+
 @pytest.mark.parametrize("order", ["ascending", "mixed"])
 def test_components_of_a_long_path_take_few_rounds(spark, order):
     names = list(range(5000))
