@@ -255,9 +255,21 @@ class Block:
         self.size += len(found.pair)
 
 
+def _order(pair: np.ndarray) -> np.ndarray:
+    """The stable order of pairs: pairs and places sorted as one number each, as long as both fit in one."""
+    if not len(pair):
+        return np.empty(0, np.int64)
+    low, place = int((pair & 0xFFFFFFFF).max()).bit_length(), len(pair).bit_length()
+    if int(pair.max() >> 32).bit_length() + low + place > 63:
+        return np.argsort(pair, kind="stable")
+    held = (((pair >> 32) << low | pair & 0xFFFFFFFF) << place) | np.arange(len(pair))
+    held.sort()
+    return held & ((1 << place) - 1)
+
+
 def _stored_row(number: int, home: int, keys: pa.Array, docs: pa.Array, found: Links) -> pa.RecordBatch:
     """One block: its documents, its different pairs with the documents that hold them, and its links as places among those."""
-    order = np.argsort(found.pair, kind="stable")
+    order = _order(found.pair)
     pair, doc = found.pair[order], found.doc[order]
     new = np.ones(len(order), bool)
     new[1:] = pair[1:] != pair[:-1]

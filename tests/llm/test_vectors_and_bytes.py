@@ -214,3 +214,12 @@ def test_pointer_jumping_labels_long_components():
     assert groups == 1 and not a.any() and not b.any()
     a, b, groups = alignment.label(np.array([2, 3, 7]), np.array([1, 3, 5, 6, 7]))
     assert (a.tolist(), b.tolist(), groups) == ([0, 0, 1], [0, 0, 1, 1, 1], 2)
+
+
+@pytest.mark.parametrize("top", [3, 50_000, 1 << 24, 1 << 31])
+def test_links_are_ordered_like_a_stable_sort(top):
+    """Also ids that do not fit in one number with their place."""
+    rng = np.random.default_rng(6)
+    pair = (rng.integers(0, top, 20_000) << 32) | rng.integers(0, top, 20_000)
+    for some in (pair, np.repeat(pair[:50], 3), pair[:1], pair[:0]):
+        assert (alignment._order(some) == np.argsort(some, kind="stable")).all()
